@@ -74,8 +74,11 @@ def dedup_by_catalog(results: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def merge_duplicates(df: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """One row a key: the average to three digits or the maximum of values; the first where none is a number [F13]."""
-    value = {"average": S.js_round(F.avg("value"), 3), "maximum": F.max("value")}[how]
+    """One row a key: the average to three digits or the maximum of values; the first where none is a number [F13].
+
+    Averages are taken of six decimals, exactly, so that ties of rounding don't hang on the order of rows.
+    """
+    value = {"average": S.js_round(F.avg(F.col("value").cast("decimal(20,6)")).cast("double"), 3), "maximum": F.max("value")}[how]
     return df.groupBy(*keys).agg(value.alias("value"), F.min_by("pos", "pos").alias("pos"))
 
 

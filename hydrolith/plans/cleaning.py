@@ -73,7 +73,7 @@ def _(t):
     return clean.dedup_by_catalog(line, catalog)
 
 
-@query("F13_average_duplicates", sql(f"SELECT well_id, obs_date, {r('avg(value)', 3)} AS value, min(pos) AS pos FROM meas GROUP BY ALL", "meas"))
+@query("F13_average_duplicates", sql(f"SELECT well_id, obs_date, {r('avg(value::DECIMAL(20,6))::DOUBLE', 3)} AS value, min(pos) AS pos FROM meas GROUP BY ALL", "meas"))
 def _(t):
     return clean.merge_duplicates(t.measurements, DAY, "average")
 
