@@ -13,8 +13,9 @@ from hydrolith.llm.kernels import WordHash, ngrams, word_hashes
 
 #: Items that are searched for in one pass over the documents; it bounds what a task holds.
 ITEMS = 20_000
-#: Bins of a sketch for each shingle of the largest item of its class.
-BINS = 16
+#: Bins of a sketch for each shingle of the largest item of its class. Of eight shared shingles or more, all are
+#: shadowed by smaller hashes in their bins with odds of about 1e-10; items of fewer have a bin for each hash.
+BINS, FEW = 64, 3
 MARKS = 20
 
 
@@ -40,15 +41,18 @@ class Index:
                 self.items.append((item_id, n, grams))
         self.classes = []
         for (n, c), members in sorted(classes.items()):
-            bins = np.uint64((BINS << (c + 1)) - 1)
+            bins = np.uint64((BINS << (c + 1)) - 1 if c >= FEW else (1 << 64) - 1)
             kept = [(i, self.least(self.items[i][2], bins)) for i in members]
             values = np.concatenate([v for _, v in kept])
             owner = np.concatenate([np.full(len(v), i) for i, v in kept])
             order = np.argsort(values, kind="stable")
+            self.classes.append((n, 2 << c, bins, values[order], owner[order]))
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({x[0] for x in self.classes}):
+            values = np.unique(np.concatenate([x[3] for x in self.classes if x[0] == n]))
             marks = np.zeros(1 << MARKS, bool)
             marks[values >> np.uint64(64 - MARKS)] = True
-            self.classes.append((n, 2 << c, bins, values[order], owner[order], marks))
-        self.lengths = sorted({n for n, *_ in self.classes})
+            self.lengths[n] = values, marks
 
     @staticmethod
     def least(grams: np.ndarray, bins: np.uint64) -> np.ndarray:
@@ -59,12 +63,18 @@ class Index:
     def candidates(self, grams: dict[int, np.ndarray]) -> set[int]:
         """Items of which some sketch value is that of a window. A window's bin is looked at only where an item's value is."""
         out: set[int] = set()
-        for n, stride, bins, values, owner, marks in self.classes:
-            g = grams[n]
-            at = np.flatnonzero(marks[g >> np.uint64(64 - MARKS)])
+        hits = {}
+        for n, (values, marks) in self.lengths.items():
+            at = np.flatnonzero(marks[grams[n] >> np.uint64(64 - MARKS)])
+            if len(at):
+                own = grams[n][at]
+                at = at[values[np.minimum(np.searchsorted(values, own), len(values) - 1)] == own]
+            hits[n] = at
+        for n, stride, bins, values, owner in self.classes:
+            g, at = grams[n], hits[n]
             if not len(at):
                 continue
-            at = at[np.isin(g[at], values)]
+            at = at[values[np.minimum(np.searchsorted(values, g[at]), len(values) - 1)] == g[at]]
             last = max((len(g) - 1) // stride - 1, 0)
             for p in at.tolist():
                 for w in {min(p // stride, last), min(max(p // stride - 1, 0), last)}:

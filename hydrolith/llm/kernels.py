@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SHIFT = np.uint64(32)
-#: Distinct words that a worker remembers before it starts afresh; this bounds memory only.
-REMEMBERED = 1 << 18
-
-
-class WordHash(dict):
-    """64-bit hash of a word (bytes), remembered between texts."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return value
+#: A fixed random value for each byte; those of A-Z are those of a-z.
+BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTES[65:91] = BYTES[97:123]
+WORDY = np.ones(256, bool)
+WORDY[[32, *range(9, 14)]] = False
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -27,15 +19,46 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+class WordHash:
+    """64-bit hashes of the words of a text: a polynomial in the bytes of each, from differences of one running sum."""
+
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        """Powers of the base and of its inverse modulo 2^64 up to n; they are kept for the longest text so far."""
+        base, inverse = int(BASE), pow(int(BASE), -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            self.powers, self.inverses = np.full((2, n + 1), 1, np.uint64)
+            self.powers[1:], self.inverses[1:] = base, inverse
+            np.cumprod(self.powers, out=self.powers)
+            np.cumprod(self.inverses, out=self.inverses)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+        if not len(raw):
+            return np.empty(0, np.uint64)
+        if len(raw) >= len(self.powers):
+            self.grow(max(2 * len(self.powers), len(raw) + 1, 1 << 14))
+        word = WORDY[raw]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        edge = np.concatenate([[0] if word[0] else [], edge, [len(raw)] if word[-1] else []]).astype(np.int64)
+        start, end = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(BYTES[raw] * self.powers[: len(raw)], out=total[1:])
+            return mixed((total[end] - total[start]) * self.inverses[start])
+
+
 def word_hashes(text: str | None, seen: WordHash) -> np.ndarray:
-    words = split_words(text)
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    return seen(text)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> SHIFT)) * MIX
-    h = (h ^ (h >> SHIFT)) * MIX
-    return h ^ (h >> SHIFT)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> SHIFT)) * MIX
+        h = (h ^ (h >> SHIFT)) * MIX
+        return h ^ (h >> SHIFT)
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:

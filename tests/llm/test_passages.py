@@ -29,7 +29,7 @@ def planted(rng):
 
 
 def test_ngram_hashes_stand_for_words():
-    words = np.array([kernels.WordHash()[bytes([65 + i % 5])] for i in range(50)], np.uint64)
+    words = kernels.WordHash()(" ".join(chr(65 + i % 5) for i in range(50)))
     for n in (1, 2, 3, 5, 6, 8, 13, 32):
         grams = kernels.ngrams(words, n)
         assert len(grams) == 50 - n + 1
@@ -39,6 +39,13 @@ def test_ngram_hashes_stand_for_words():
     assert len(kernels.ngrams(words[:2], 3)) == len(kernels.ngrams(words[:0], 1)) == 0
 
 
+def test_word_hashes_stand_for_words():
+    for text in (None, "", " ", "a", " a", "A\tb\n\n a\x0bB ", "é É ab aB b" * 5000, "a b" * 3):
+        words, hashes = kernels.split_words(text), kernels.WordHash()(text)
+        assert len(words) == len(hashes)
+        assert len(set(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist(), strict=True)))
+
+
 def test_each_window_holds_a_minimiser():
     grams = np.random.default_rng(1).integers(0, 1 << 60, 500, dtype=np.uint64)
     at = kernels.minimisers(grams, 10)
