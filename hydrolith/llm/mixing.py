@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hydrolith.llm.common import WORD
 
 #: Documents of a source that are ordered in one task, about; the number of parts of a source follows from it.
-PART = 20_000
+PART = 2_000
 
 
 def word_count(text: Column) -> Column:
