@@ -107,9 +107,9 @@ def snap_to_month(points: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     return month.select(*[exact[c] for c in points.columns], F.coalesce("exact", "g_value").alias("snapped"))
 
 
-def wide_times(series: DataFrame, names: list[str]) -> DataFrame:
-    """A row a time and a column a series: (t, series, value), the last value of a time and series [J19, A18]."""
-    return series.groupBy("t").pivot("series", names).agg(F.max_by("value", "pos"))
+def wide_times(series: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """A row a key and time and a column a series: (keys, t, series, value), the last value of each [J19, A18, R05]."""
+    return series.groupBy(*keys, "t").pivot("series", names).agg(F.max_by("value", "pos"))
 
 
 def ordered_union(frames: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -119,27 +119,27 @@ def _(t):
     return t.read("customer").join(big, "c_custkey", "left_semi").select("c_custkey")
 
 
-OLD, NEW = "old AS (SELECT * FROM meas WHERE pos % 3 <> 0)", "new AS (SELECT * FROM meas WHERE pos % 3 = 0)"
+OLD, NEW = "old AS (SELECT * FROM meas WHERE data_type <> 'R')", "new AS (SELECT * FROM meas WHERE data_type = 'R')"
 
 
 @query("J03_append_new", sql(f"{OLD}, {NEW} SELECT pos FROM old UNION ALL SELECT pos FROM (SELECT *, row_number() OVER (PARTITION BY well_id, obs_date ORDER BY pos) AS k FROM new) n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.well_id = n.well_id AND o.obs_date = n.obs_date)", "meas"))
 def _(t):
     m = t.measurements
-    return merge.append_new(m.where("pos % 3 <> 0"), m.where("pos % 3 = 0"), DAY).select("pos")
+    return merge.append_new(m.where("data_type <> 'R'"), m.where("data_type = 'R'"), DAY).select("pos")
 
 
-@query("J04_upsert", sql("o AS (SELECT well_id, obs_date, max(value) AS value, CASE WHEN well_id % 4 = 0 THEN NULL ELSE 'old' END AS aquifer_id FROM meas WHERE pos % 3 <> 0 GROUP BY ALL), n AS (SELECT well_id, obs_date, arg_max(value, pos) AS value, 'new' AS aquifer_id FROM meas WHERE pos % 3 = 0 GROUP BY ALL) SELECT well_id, obs_date, coalesce(n.value, o.value) AS value, coalesce(o.aquifer_id, n.aquifer_id) AS aquifer_id FROM o FULL JOIN n USING (well_id, obs_date)", "meas"))
+@query("J04_upsert", sql("o AS (SELECT well_id, obs_date, max(value) AS value, CASE WHEN well_id % 4 = 0 THEN NULL ELSE 'old' END AS aquifer_id FROM meas WHERE data_type <> 'R' GROUP BY ALL), n AS (SELECT well_id, obs_date, arg_max(value, pos) AS value, 'new' AS aquifer_id FROM meas WHERE data_type = 'R' GROUP BY ALL) SELECT well_id, obs_date, coalesce(n.value, o.value) AS value, coalesce(o.aquifer_id, n.aquifer_id) AS aquifer_id FROM o FULL JOIN n USING (well_id, obs_date)", "meas"))
 def _(t):
     m = t.measurements
-    old = m.where("pos % 3 <> 0").groupBy(*DAY).agg(F.max("value").alias("value")).withColumn("aquifer_id", F.when(F.col("well_id") % 4 != 0, "old"))
-    new = m.where("pos % 3 = 0").withColumn("aquifer_id", F.lit("new"))
+    old = m.where("data_type <> 'R'").groupBy(*DAY).agg(F.max("value").alias("value")).withColumn("aquifer_id", F.when(F.col("well_id") % 4 != 0, "old"))
+    new = m.where("data_type = 'R'").withColumn("aquifer_id", F.lit("new"))
     return merge.upsert(old, new, DAY)
 
 
-@query("J05_quick_refresh", sql("SELECT pos FROM meas WHERE data_type = 'R' AND obs_date > (SELECT max(obs_date) FROM meas WHERE data_type = 'R' AND pos % 4001 = 0)", "meas"))
+@query("J05_quick_refresh", sql("SELECT pos FROM meas WHERE data_type = 'R' AND obs_date > (SELECT max(obs_date) FROM meas WHERE obs_date < DATE '2000-01-01')", "meas"))
 def _(t):
-    m = t.measurements.where("data_type = 'R'")
-    return merge.newer_than_store(m.where("pos % 4001 = 0"), m).select("pos")
+    m = t.measurements
+    return merge.newer_than_store(m.where("obs_date < date'2000-01-01'"), m.where("data_type = 'R'")).select("pos")
 
 
 @query("J06_replace_scope", sql("SELECT data_type, count(*) AS n, min(value) AS low FROM (SELECT data_type, value FROM meas WHERE data_type <> 'A' UNION ALL SELECT 'A', value FROM meas WHERE data_type = 'R') GROUP BY data_type", "meas"))
@@ -211,12 +211,12 @@ def _(t):
     return matched(t).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("id", "name", "proximity", "new", "unmatched")])
 
 
-@query("J14_fuzzy_columns", sql(f"""h AS (SELECT DISTINCT p_type AS header, {NORM.format('p_type')} AS k FROM part), p AS (SELECT p_partkey AS code, p_partkey AS pos, {NORM.format('p_name')} AS k FROM part WHERE p_partkey <= 200),
+@query("J14_fuzzy_columns", sql(f"""h AS (SELECT DISTINCT p_type AS header, {NORM.format('p_type')} AS k FROM part), p AS (SELECT p_partkey AS code, p_partkey AS pos, {NORM.format('p_name')} AS k FROM part),
 c AS (SELECT header, code, pos, CASE WHEN h.k = p.k THEN 1 WHEN length(h.k) >= 4 AND length(p.k) >= 4 AND levenshtein(h.k, p.k) <= 2 THEN 2 WHEN length(h.k) >= 3 AND length(p.k) >= 3 AND (contains(h.k, p.k) OR contains(p.k, h.k)) THEN 3 END AS tier, levenshtein(h.k, p.k) AS e FROM h, p)
 SELECT header, code, tier::INTEGER AS tier FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY tier, CASE WHEN tier = 2 THEN e ELSE 0 END, pos) AS n FROM c WHERE tier IS NOT NULL) WHERE n = 1"""))
 def _(t):
     p = t.read("part")
-    return merge.fuzzy_parameters(p.select(F.col("p_type").alias("header")).distinct(), p.where("p_partkey <= 200").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pos")))
+    return merge.fuzzy_parameters(p.select(F.col("p_type").alias("header")).distinct(), p.select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pos")))
 
 
 @query("J15_snap_month", sql("g AS (SELECT well_id, obs_date, max(value) AS v FROM meas WHERE data_type = 'N' GROUP BY ALL) SELECT m.pos, coalesce(a.v, b.v) AS snapped FROM meas m LEFT JOIN g a ON a.well_id = m.well_id AND a.obs_date = m.obs_date LEFT JOIN g b ON b.well_id = m.well_id AND b.obs_date = date_trunc('month', m.obs_date) WHERE m.data_type = 'A'", "meas"))
@@ -241,10 +241,10 @@ def _(t):
     return years.where("y between 1994 and 2002").groupBy(F.make_date("y", F.lit(1), F.lit(1)).alias("frame_date")).agg(F.count("*").alias("n_wells"))
 
 
-@query("J19_wide_times", sql("SELECT obs_date AS t, arg_max(value, pos) FILTER (WHERE data_type = 'A') AS A, arg_max(value, pos) FILTER (WHERE data_type = 'R') AS R FROM meas WHERE well_id = 3 AND data_type IN ('A', 'R') GROUP BY 1", "meas"))
+@query("J19_wide_times", sql("SELECT well_id, obs_date AS t, arg_max(value, pos) FILTER (WHERE data_type = 'A') AS A, arg_max(value, pos) FILTER (WHERE data_type = 'R') AS R FROM meas WHERE data_type IN ('A', 'R') GROUP BY 1, 2", "meas"))
 def _(t):
-    s = t.measurements.where("well_id = 3 and data_type in ('A', 'R')").select(F.col("obs_date").alias("t"), F.col("data_type").alias("series"), "value", "pos")
-    return merge.wide_times(s, ["A", "R"])
+    s = t.measurements.where("data_type in ('A', 'R')").select("well_id", F.col("obs_date").alias("t"), F.col("data_type").alias("series"), "value", "pos")
+    return merge.wide_times(s, ["A", "R"], ["well_id"])
 
 
 @query("J21_pair_correlation", sql(f"SELECT a.grp, a.key AS a, b.key AS b, {r('coalesce(corr(a.value, b.value), 0)', 6)} AS r, count(*) AS n FROM monthly a JOIN monthly b ON a.grp = b.grp AND a.m = b.m AND a.key < b.key GROUP BY ALL HAVING count(*) >= 8", "monthly"))

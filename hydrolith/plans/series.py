@@ -33,10 +33,9 @@ def _(t):
 W4 = "(12 * 30.4375::DOUBLE / 4)"
 
 
-@query("T04_kernel_smooth", sql(f"SELECT a.key, a.x, {r(f'sum(exp(-0.5 * pow((b.x - a.x) / {W4}, 2)) * b.y) / sum(exp(-0.5 * pow((b.x - a.x) / {W4}, 2)))', 3)} AS y FROM daily a JOIN daily b ON a.key = b.key AND abs(a.x - b.x) <= 4 * {W4} WHERE a.key <= 20 GROUP BY ALL", "daily"))
+@query("T04_kernel_smooth", sql(f"SELECT a.key, a.x, {r(f'sum(exp(-0.5 * pow((b.x - a.x) / {W4}, 2)) * b.y) / sum(exp(-0.5 * pow((b.x - a.x) / {W4}, 2)))', 3)} AS y FROM daily a JOIN daily b ON a.key = b.key AND abs(a.x - b.x) <= 4 * {W4} GROUP BY ALL", "daily"))
 def _(t):
-    few = t.daily.where("key <= 20")
-    return T.kernel_smooth(few, 12).select("key", "x", S.js_round(F.col("y"), 3).alias("y"))
+    return T.kernel_smooth(t.daily, 12).select("key", "x", S.js_round(F.col("y"), 3).alias("y"))
 
 
 @query("T08_month_grid", sql("s AS (SELECT well_id, date_trunc('month', min(obs_date)) AS a, max(obs_date) AS z FROM meas GROUP BY 1) SELECT well_id, unnest(generate_series(a, z::TIMESTAMP, INTERVAL 3 MONTH))::DATE AS month FROM s", "meas"))

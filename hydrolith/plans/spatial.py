@@ -25,9 +25,9 @@ def _(t):
     return spatial.assign_polygon(t.wells.select(F.col("well_id").alias("id"), "lat", "lng"), t.aquifers.drop("region_id"), "aquifer_id").select("id", "aquifer_id")
 
 
-@query("J09_clip_cascade", sql(f"{INSIDE} SELECT well_id, count(*) AS n FROM meas WHERE well_id IN (SELECT well_id FROM ins WHERE inside AND aquifer_id < 10) GROUP BY well_id", "well", "meas", "edge"))
+@query("J09_clip_cascade", sql(f"{INSIDE} SELECT well_id, count(*) AS n FROM meas WHERE well_id IN (SELECT well_id FROM ins WHERE inside AND aquifer_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)) GROUP BY well_id", "well", "meas", "edge"))
 def _(t):
-    held = spatial.assign_polygon(t.wells.select(F.col("well_id").alias("id"), "lat", "lng"), t.aquifers.where("aquifer_id < 10").drop("region_id"), "aquifer_id")
+    held = spatial.assign_polygon(t.wells.select(F.col("well_id").alias("id"), "lat", "lng"), t.aquifers.where("region_id = 2").drop("region_id"), "aquifer_id")
     keep = held.where("aquifer_id is not null").select(F.col("id").alias("well_id"))
     return t.measurements.join(keep, "well_id", "left_semi").groupBy("well_id").agg(F.count("*").alias("n"))
 
