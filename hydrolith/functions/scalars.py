@@ -120,6 +120,19 @@ def cell_area(lat: Column, dx: float, dy: float) -> Column:
     return F.lit(EARTH) * F.radians(F.lit(dx)) * F.cos(F.radians(lat)) * F.lit(EARTH) * F.radians(F.lit(dy))
 
 
+def ellipsoid_radius(lat: Column) -> Column:
+    """Metres from the centre to the surface of the WGS84 ellipsoid at a geodetic latitude [G10]."""
+    major, minor = 6_378_137.0, 6_356_752.3142
+    rest = (minor / major) ** 2
+    geocentric = F.atan(F.lit(rest) * F.tan(F.radians(lat)))
+    return F.lit(minor) / F.sqrt(1 - (1 - rest) * F.pow(F.cos(geocentric), F.lit(2.0)))
+
+
+def csv_field(s: Column) -> Column:
+    """A field of a CSV line: quoted, with its quotes doubled, if it holds a comma, a quote or a line end [P14]."""
+    return F.when(s.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(s, F.lit("")))
+
+
 def planar(lat: Column, lng: Column, lat0: Column, lng0: Column) -> tuple[Column, Column]:
     """Metres east and north of a centre [G03]."""
     return F.radians(lng - lng0) * F.cos(F.radians(lat0)) * EARTH, F.radians(lat - lat0) * EARTH

@@ -16,15 +16,19 @@ def rng_for(*parts: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big"))
 
 
-def soft_impute(x: np.ndarray, rank: int, shrink: float = 0.0, rounds: int = 80, tol: float = 1e-5, start: str = "column") -> np.ndarray:
-    """Fills nan by truncated, shrunk SVDs with observed cells put back each round [I09, M05]."""
+def soft_impute(x: np.ndarray, rank: int, shrink: float = 0.0, rounds: int = 80, tol: float = 1e-5, start: str | np.ndarray = "column", stop: str = "norm") -> np.ndarray:
+    """Fills nan by truncated, shrunk SVDs with observed cells put back each round [I09, M05].
+
+    Starts from the means of columns or rows, or from a matrix; stops when the relative norm of a round's change, or
+    with stop='cell' its largest change of a cell, is within tol.
+    """
     seen = np.isfinite(x)
     if not seen.any():
         return np.zeros_like(x)
-    axis = {"column": 0, "row": 1}.get(start)
-    if axis is None:
-        fill = np.zeros_like(x)
+    if isinstance(start, np.ndarray):
+        fill = start
     else:
+        axis = {"column": 0, "row": 1}[start]
         n = seen.sum(axis=axis, keepdims=True)
         mean = np.where(seen, x, 0).sum(axis=axis, keepdims=True) / np.maximum(n, 1)
         fill = np.broadcast_to(np.where(n > 0, mean, x[seen].mean()), x.shape)
@@ -32,7 +36,7 @@ def soft_impute(x: np.ndarray, rank: int, shrink: float = 0.0, rounds: int = 80,
     for _ in range(rounds):
         u, s, v = np.linalg.svd(out, full_matrices=False)
         new = np.where(seen, x, (u[:, :rank] * np.maximum(s[:rank] - shrink, 0)) @ v[:rank])
-        moved = np.linalg.norm(new - out) / max(np.linalg.norm(out), 1e-12)
+        moved = np.abs(new - out).max() if stop == "cell" else np.linalg.norm(new - out) / max(np.linalg.norm(out), 1e-12)
         out = new
         if moved <= tol:
             break
@@ -74,6 +78,150 @@ def reservoir(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Generator
     return design @ weights * scale + (lo + hi) / 2
 
 
+def euler_reservoir(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Generator, size: int = 40, radius: float = 0.9, leak: float | np.ndarray = 0.3, alpha: float = 1e-2, dt: float = 0.1, both_ways: bool = False) -> np.ndarray:
+    """Reservoir by Euler steps x += dt (tanh(W u + R x) - leak x) with a ridge readout [M16]; both_ways adds states from the end back [M17]."""
+    seen = np.isfinite(observed)
+    lo, hi = (observed[seen].min(), observed[seen].max()) if seen.any() else (0.0, 1.0)
+    scale = (hi - lo) / 1.6 or 1.0
+
+    def run(u: np.ndarray) -> np.ndarray:
+        win = rng.uniform(-1, 1, (size, u.shape[1]))
+        wres = np.where(rng.random((size, size)) < 0.2, rng.uniform(-1, 1, (size, size)), 0.0)
+        top = np.abs(np.linalg.eigvals(wres)).max()
+        wres *= radius / top if top > 1e-10 else radius
+        x, states = np.zeros(size), np.empty((len(u), size))
+        for i, v in enumerate(u):
+            x = x + dt * (np.tanh(win @ v + wres @ x) - leak * x)
+            states[i] = x
+        return states
+
+    parts = [run(inputs)] + ([run(inputs[::-1])[::-1]] if both_ways else [])
+    design = np.hstack([np.ones((len(inputs), 1)), *parts])
+    y = (observed - (lo + hi) / 2) / scale
+    weights = ridge(design[seen], y[seen], alpha) if seen.any() else np.zeros(design.shape[1])
+    return design @ weights * scale + (lo + hi) / 2
+
+
+def ensemble_reservoir(inputs: np.ndarray, observed: np.ndarray, members: int = 5, size: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of reservoirs run both ways, their leaks 0.1, 0.3 and 0.7 by thirds, their seeds 1000 i + 42 [M17]."""
+    leak = np.repeat([0.1, 0.3, 0.7], -(-size // 3))[:size]
+    runs = np.array([euler_reservoir(inputs, observed, np.random.default_rng(1000 * i + 42), size, leak=leak, both_ways=True) for i in range(members)])
+    return runs.mean(axis=0), runs.std(axis=0)
+
+
+def kge(observed: np.ndarray, predicted: np.ndarray) -> float:
+    """Kling-Gupta efficiency with sample deviations: -1 without spread of observations, minus infinity if their mean is 0 [V03]."""
+    if len(observed) < 2 or observed.std() == 0:
+        return -1.0
+    if observed.mean() == 0:
+        return -np.inf
+    r = np.corrcoef(observed, predicted)[0, 1] if predicted.std() > 0 else 0.0
+    return float(1 - np.sqrt((r - 1) ** 2 + (predicted.std() / observed.std() - 1) ** 2 + (predicted.mean() / observed.mean() - 1) ** 2))
+
+
+def search_reservoir(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Generator, trials: int = 30) -> tuple[dict, np.ndarray]:
+    """The best of random sizes 10-80 and leaks 0.05-0.95, and its series: KGE less 0.05 for each filled value beyond 2.5 deviations [M07]."""
+    seen = np.isfinite(observed)
+    best, found = (-np.inf, {}), np.full(len(observed), np.nanmean(observed))
+    for _ in range(trials):
+        size, leak = int(rng.integers(10, 81)), float(rng.uniform(0.05, 0.95))
+        guess = euler_reservoir(inputs, observed, rng, size, leak=leak)
+        z = (guess - guess.mean()) / (guess.std(ddof=1) or 1.0)
+        score = kge(observed[seen], guess[seen]) - 0.05 * int((np.abs(z[~seen]) > 2.5).sum())
+        if score > best[0]:
+            best, found = (score, {"size": size, "leak": leak, "score": score}), guess
+    return best[1], found
+
+
+def gaussian_process(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation at times by a process with kernel c RBF(length) + noise; the likeliest of a grid of lengths and noises [M21].
+
+    The variance c has its likeliest value for each of them. Fewer than two known values give their mean.
+    """
+    if len(t) < 2 or np.ptp(y) == 0:
+        return np.full(len(at), y.mean() if len(y) else 0.0), np.zeros(len(at))
+    mean, sd = y.mean(), y.std()
+    z, n = (y - mean) / sd, len(t)
+    gap = (t[:, None] - t) ** 2
+    best = (-np.inf,)
+    for length in np.geomspace(1.0, max(np.ptp(t), 2.0), 12):
+        k = np.exp(-gap / (2 * length * length))
+        values, vectors = np.linalg.eigh(k)
+        turned = (vectors.T @ z) ** 2
+        for noise in np.geomspace(1e-4, 10, 12):
+            spread = np.maximum(values, 0) + noise
+            c = (turned / spread).sum() / n
+            likely = -0.5 * (n * np.log(c) + np.log(spread).sum())
+            if likely > best[0]:
+                best = (likely, length, noise, c)
+    _, length, noise, c = best
+    k = np.exp(-gap / (2 * length * length)) + noise * np.eye(n)
+    cross = np.exp(-((at[:, None] - t) ** 2) / (2 * length * length))
+    solved = np.linalg.solve(k, np.column_stack([z, cross.T]))
+    variance = c * np.maximum(1 + noise - (cross * solved[:, 1:].T).sum(axis=1), 0)
+    return mean + sd * cross @ solved[:, 0], sd * np.sqrt(variance)
+
+
+def polynomial_placeholder(t: np.ndarray, aux: np.ndarray, observed: np.ndarray, alpha: float = 1e-2) -> np.ndarray:
+    """Ridge on 1, t, t^2, aux, aux t and up to ten products of pairs, five times the penalty; on 1, t, aux if values are few [M19]."""
+    seen = np.isfinite(observed)
+    u = (t - t.min()) / (np.ptp(t) or 1.0)
+    pairs = [aux[:, i] * aux[:, j] for i in range(aux.shape[1]) for j in range(i + 1, aux.shape[1])][:10]
+    x = np.column_stack([np.ones(len(u)), u, u * u, aux, aux * u[:, None], *pairs])
+    if seen.sum() < x.shape[1] + 2:
+        x, alpha = np.column_stack([np.ones(len(u)), u, aux]), alpha / 5
+    return x @ ridge(x[seen], observed[seen], 5 * alpha)
+
+
+def denoised(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Generator, runs: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of runs that refit a ridge to its own result with ever less noise, from a ridge baseline [M25]."""
+    seen = np.isfinite(observed)
+    mean, sd = observed[seen].mean(), observed[seen].std() or 1.0
+    z = (observed - mean) / sd
+    baseline = inputs @ ridge(inputs[seen], z[seen], 0.1)
+    out = []
+    for _ in range(runs):
+        x = baseline
+        for level in np.geomspace(1.0, 0.05, 5):
+            noisy = np.where(seen, z, x) + level * rng.normal(size=len(z)) * ~seen
+            design = np.column_stack([inputs, noisy])
+            x = design @ ridge(design[seen], z[seen], 0.1 + level) if seen.sum() > 2 else x
+            x = (1 - level) * x + level * baseline
+        out.append(x)
+    runs_of = np.array(out) * sd + mean
+    return runs_of.mean(axis=0), runs_of.std(axis=0)
+
+
+def complete_with_donors(x: np.ndarray, target: int, month: np.ndarray, donors: int = 50, common: int = 8, rank: int = 3) -> np.ndarray:
+    """Series ``target`` of x (series x months) from a matrix of itself, its best-correlated donors and the season [M04].
+
+    Rows are z-scores, donors weighed by |r|. The rank is the least that the method admits, for errors on observed
+    cells, which are put back, never tell ranks apart. The result is scaled to the spread of observations (MOVE.1) and
+    kept within their range widened by a fifth, 1 at least.
+    """
+    y = x[target]
+    seen = np.isfinite(y)
+    if seen.sum() < 3:
+        return np.where(seen, y, y[seen].mean() if seen.any() else 0.0)
+    found = []
+    for i in range(len(x)):
+        both = seen & np.isfinite(x[i])
+        if i != target and both.sum() >= common and x[i][both].std() > 0 and y[both].std() > 0:
+            found.append((float(np.corrcoef(x[i][both], y[both])[0, 1]), i))
+    found = sorted(found, key=lambda f: (-abs(f[0]), f[1]))[:donors]
+
+    def z(v: np.ndarray) -> np.ndarray:
+        return (v - np.nanmean(v)) / (np.nanstd(v, ddof=1) or 1.0)
+
+    angle = 2 * np.pi * month / 12
+    rows = np.vstack([z(y), *[z(x[i]) * abs(r) for r, i in found], np.sin(angle), np.cos(angle)])
+    done = soft_impute(rows, min(rank, *rows.shape), rounds=100, tol=1e-7, start="row", stop="cell")[0]
+    pred = done * (y[seen].std(ddof=1) or 1.0) + y[seen].mean()
+    pred = move1(pred, pred[seen], y[seen])
+    margin = max(0.2 * np.ptp(y[seen]), 1.0)
+    return np.where(seen, y, np.clip(pred, y[seen].min() - margin, y[seen].max() + margin))
+
+
 def move1(pred: np.ndarray, model: np.ndarray, observed: np.ndarray) -> np.ndarray:
     """Maintenance of variance: scaled to the mean and deviation of observations if their ratio is between 0.1 and 10."""
     if len(observed) < 2:
@@ -110,11 +258,47 @@ def complete_matrix(monthly: DataFrame, group: str, rank: int = 8) -> DataFrame:
     return monthly.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, key {kind['key']}, m long, value double, observed boolean")
 
 
+def _driven(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inputs of a reservoir: the observed anomaly, 0 where there is none, and the features."""
+    return np.column_stack([np.where(np.isfinite(y), y - np.nanmean(y), 0) / (np.nanstd(y) or 1.0), x])
+
+
+def _elm(x: np.ndarray, y: np.ndarray, m: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    seen = np.isfinite(y)
+    mu, sd = y[seen].mean(), y[seen].std(ddof=1) or 1.0
+    return elm(x[seen], (y[seen] - mu) / sd, rng, 100)(x) * sd + mu
+
+
+def _residual(x: np.ndarray, y: np.ndarray, m: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    seen = np.isfinite(y)
+    first = euler_reservoir(_driven(x, y), y, rng)
+    return first + gaussian_process(m[seen], (y - first)[seen], m)[0]
+
+
+#: What fills a series: f(features, values with nan, months, generator).
+METHODS: dict[str, Callable[..., np.ndarray]] = {
+    "elm": _elm,
+    "reservoir": lambda x, y, m, rng: reservoir(_driven(x, y), y, rng),
+    "ridge": lambda x, y, m, rng: x @ ridge(x[np.isfinite(y)], y[np.isfinite(y)], 0.01),
+    "euler": lambda x, y, m, rng: euler_reservoir(_driven(x, y), y, rng),
+    "search": lambda x, y, m, rng: search_reservoir(_driven(x, y), y, rng)[1],
+    "ensemble": lambda x, y, m, rng: ensemble_reservoir(_driven(x, y), y)[0],
+    "polynomial": lambda x, y, m, rng: polynomial_placeholder(m, x[:, 1:-1], y),
+    "process": lambda x, y, m, rng: gaussian_process(m[np.isfinite(y)], y[np.isfinite(y)], m)[0],
+    "residual": _residual,
+    "denoised": lambda x, y, m, rng: denoised(x, y, rng)[0],
+}
+
+
 def impute_series(monthly: DataFrame, method: str = "elm", seed: int = 42, least: int = 8) -> DataFrame:
-    """(key, m, observed, value): every month of a series from its first to its last, by 'elm', 'reservoir' or 'ridge' [M02, M06, M12].
+    """(key, m, observed, value): every month of a series from its first to its last.
+
+    Methods: 'elm' [M02], 'reservoir' [M06], 'ridge' [M12], 'euler' [M16], 'search' [M07], 'ensemble' [M17],
+    'polynomial' [M19], 'process' [M21], 'residual' (a reservoir with a process on what it leaves) [M22], 'denoised' [M25].
 
     monthly: key, m, value. Observed months keep their value; a series with fewer than ``least`` months gets its mean.
     """
+    fit = METHODS[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.groupby("m")["value"].mean().sort_index()
@@ -124,13 +308,8 @@ def impute_series(monthly: DataFrame, method: str = "elm", seed: int = 42, least
         x = seasonal_features(m)
         if seen.sum() < least:
             guess = np.full(len(y), y[seen].mean())
-        elif method == "elm":
-            mu, sd = y[seen].mean(), y[seen].std(ddof=1) or 1.0
-            guess = elm(x[seen], (y[seen] - mu) / sd, rng_for(seed, pdf["key"].iloc[0]), 100)(x) * sd + mu
-        elif method == "reservoir":
-            guess = reservoir(np.column_stack([np.where(seen, y - np.nanmean(y), 0) / (np.nanstd(y) or 1.0), x]), y, rng_for(seed, pdf["key"].iloc[0]))
         else:
-            guess = x @ ridge(x[seen], y[seen], 0.01)
+            guess = fit(x, y, m.astype(float), rng_for(seed, pdf["key"].iloc[0]))
         return pd.DataFrame({"key": pdf["key"].iloc[0], "m": m, "observed": y, "value": np.where(seen, y, guess)})
 
     kind = dict(monthly.dtypes)["key"]
@@ -167,3 +346,141 @@ def eof_modes(monthly: DataFrame, group: str, modes: int = 3) -> DataFrame:
 
     kind = dict(monthly.dtypes)[group]
     return monthly.groupBy(group).applyInPandas(run, f"{group} {kind}, mode int, singular double, explained double")
+
+
+def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Months x series, every month from the first to the last."""
+    wide = pdf.pivot_table(index="m", columns="key", values="value", aggfunc="mean").sort_index()
+    return wide.reindex(range(int(wide.index.min()), int(wide.index.max()) + 1))
+
+
+def impute_with_donors(monthly: DataFrame, group: str, donors: int = 50, common: int = 8) -> DataFrame:
+    """(group, key, m, value, observed): each series of a group completed from its donors [M04]. One group's matrix is what a task holds."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = _wide(pdf)
+        x, m = wide.to_numpy(float).T, wide.index.to_numpy(np.int64)
+        parts = [pd.DataFrame({group: pdf[group].iloc[0], "key": k, "m": m, "value": complete_with_donors(x, i, m, donors, common), "observed": np.isfinite(x[i])}) for i, k in enumerate(wide.columns)]
+        return pd.concat(parts, ignore_index=True)
+
+    kind = dict(monthly.dtypes)
+    return monthly.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, key {kind['key']}, m long, value double, observed boolean")
+
+
+def supported(x: np.ndarray, target: int, month: np.ndarray, rng: np.random.Generator, rounds: int = 3, share: float = 0.12) -> np.ndarray:
+    """Series ``target`` completed in rounds: 12 % of its observations, 6 to 24, are hidden, and a blend of the old
+    result (0.35) and the new (0.65) is taken as support only if it does better on them [M10]."""
+    y = x[target]
+    seen = np.flatnonzero(np.isfinite(y))
+    if len(seen) < 20:
+        return complete_with_donors(x, target, month)
+    hidden = rng.choice(seen, int(np.clip(round(share * len(seen)), 6, 24)), replace=False)
+    held = x.copy()
+    held[target, hidden] = np.nan
+    best = complete_with_donors(held, target, month)
+    score = (kge(y[hidden], best[hidden]), -float(np.sqrt(np.mean((best[hidden] - y[hidden]) ** 2))))
+    for _ in range(rounds):
+        features = np.column_stack([best, seasonal_features(month)])
+        new = 0.35 * best + 0.65 * euler_reservoir(_driven(features, held[target]), held[target], rng)
+        new_score = (kge(y[hidden], new[hidden]), -float(np.sqrt(np.mean((new[hidden] - y[hidden]) ** 2))))
+        if new_score <= score:
+            break
+        best, score = new, new_score
+    return np.where(np.isfinite(y), y, best)
+
+
+def impute_supported(monthly: DataFrame, group: str, seed: int = 42) -> DataFrame:
+    """(group, key, m, value, observed) by the support loop [M10, M11]."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = _wide(pdf)
+        x, m = wide.to_numpy(float).T, wide.index.to_numpy(np.int64)
+        parts = [pd.DataFrame({group: pdf[group].iloc[0], "key": k, "m": m, "value": supported(x, i, m, rng_for(seed, k)), "observed": np.isfinite(x[i])}) for i, k in enumerate(wide.columns)]
+        return pd.concat(parts, ignore_index=True)
+
+    kind = dict(monthly.dtypes)
+    return monthly.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, key {kind['key']}, m long, value double, observed boolean")
+
+
+def holdout_benchmark(monthly: DataFrame, methods: list[str], share: float = 0.2, seed: int = 7) -> DataFrame:
+    """(method, key, obs, pred) of months held out, by each method [V08]. monthly: key, m, value."""
+    from hydrolith.operators.metrics import random_holdout
+
+    split = random_holdout(monthly.select("key", "m", "value"), ["key"], "m", share, seed)
+    held = split.where("held_out").select("key", "m", F.col("value").alias("obs"))
+    out = None
+    for method in methods:
+        found = impute_series(split.where("not held_out").drop("held_out"), method).join(held, ["key", "m"])
+        part = found.select(F.lit(method).alias("method"), "key", "obs", F.col("value").alias("pred"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def surfaces(monthly: DataFrame, wells: DataFrame, cells: DataFrame, group: str, method: str = "matrix", modes: int = 3) -> DataFrame:
+    """(group, cell_id, m, value): a surface for each month from the completed series of a group's wells.
+
+    'matrix' spreads them by inverse distances [I10]; 'grid' completes months x cells from wells at their nearest
+    cells, begun with inverse distances [I14]; 'transfer' maps the spread series through each near well's regression
+    on its own neighbours [I15]; 'modes' adds a ridge surface of second degree of the means, their rests and the
+    loadings of the leading modes [I12]. monthly: group, key, m, value; wells: group, well_id, w_lat, w_lng; cells:
+    group, cell_id, lat, lng. What a task holds is a group's months x cells.
+    """
+    from hydrolith.operators.spatial import idw_matrix
+
+    def matrix(x, lat, lng, clat, clng):
+        return x @ idw_matrix(lat, lng, clat, clng).T
+
+    def grid(x, lat, lng, clat, clng):
+        d = (lat[:, None] - clat) ** 2 + ((lng[:, None] - clng) * np.cos(np.radians(lat[:, None]))) ** 2
+        at = d.argmin(axis=1)
+        known = np.full((len(x), len(clat)), np.nan)
+        for cell in np.unique(at):
+            known[:, cell] = x[:, at == cell].mean(axis=1)
+        return soft_impute(known, max(1, min(8, *known.shape)), rounds=100, start=matrix(x, lat, lng, clat, clng))
+
+    def transfer(x, lat, lng, clat, clng):
+        n = len(lat)
+        base = matrix(x, lat, lng, clat, clng)
+        if n < 3:
+            return base
+        slope, level = np.ones(n), np.zeros(n)
+        for i in range(n):
+            others = np.arange(n) != i
+            p = x[:, others] @ idw_matrix(lat[others], lng[others], lat[i : i + 1], lng[i : i + 1])[0]
+            spread = ((p - p.mean()) ** 2).sum()
+            if spread >= 1e-10:
+                slope[i] = ((p - p.mean()) * (x[:, i] - x[:, i].mean())).sum() / spread
+                level[i] = x[:, i].mean() - slope[i] * p.mean()
+        w = idw_matrix(lat, lng, clat, clng)
+        return np.where(np.isclose(w.max(axis=1), 1), base, base * (w @ slope) + w @ level)
+
+    def eof(x, lat, lng, clat, clng):
+        mean = x.mean(axis=0)
+        u, s, v = np.linalg.svd(x - mean, full_matrices=False)
+        k = min(modes, len(s))
+        centre, scale = np.array([lat.mean(), lng.mean()]), np.maximum([lat.std(), lng.std()], 1e-10)
+
+        def design(a, b):
+            p, q = (a - centre[0]) / scale[0], (b - centre[1]) / scale[1]
+            return np.column_stack([np.ones(len(a)), p, q, p * p, q * q, p * q])
+
+        weights = ridge(design(lat, lng), mean, 1.0)
+        w = idw_matrix(lat, lng, clat, clng)
+        trend = design(clat, clng) @ weights + w @ (mean - design(lat, lng) @ weights)
+        return trend + (u[:, :k] * s[:k]) @ (v[:k] @ w.T)
+
+    kernel = {"matrix": matrix, "grid": grid, "transfer": transfer, "modes": eof}[method]
+    kind = dict(cells.dtypes)[group]
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({group: [], "cell_id": [], "m": [], "value": []})
+        wide = left.pivot_table(index="m", columns="key", values="value", aggfunc="mean").sort_index()
+        place = left.groupby("key")[["w_lat", "w_lng"]].first().loc[wide.columns].to_numpy(float)
+        x = wide.to_numpy(float)
+        out = kernel(x, place[:, 0], place[:, 1], right["lat"].to_numpy(float), right["lng"].to_numpy(float))
+        return pd.DataFrame({group: key[0], "cell_id": np.tile(right["cell_id"].to_numpy(), len(x)), "m": np.repeat(wide.index.to_numpy(np.int64), len(right)), "value": out.ravel()})
+
+    done = complete_matrix(monthly, group)
+    placed = done.join(wells.select(group, F.col("well_id").alias("key"), "w_lat", "w_lng"), [group, "key"]).select(group, "key", "m", "value", "w_lat", "w_lng")
+    return placed.groupBy(group).cogroup(cells.select(group, "cell_id", "lat", "lng").groupBy(group)).applyInPandas(run, f"{group} {kind}, cell_id int, m long, value double")

@@ -120,3 +120,35 @@ def ordered_union(frames: list[DataFrame], keys: list[str]) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy(*keys).orderBy("__k", "pos")
     return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__k", "__n")
+
+
+def counterparts(models: DataFrame, scope: list[str]) -> DataFrame:
+    """(path, counterpart) of each model (path, method, min_samples, pos, scope): one of another method and the same scope [J20].
+
+    The first by pos with the same min_samples, else the first by pos; null if there is none. Of each scope and
+    method only the first model, and the first for each min_samples, can be anyone's counterpart, so no more than
+    those meet the models.
+    """
+    same = first_by(models, [*scope, "method", "min_samples"], ["pos"])
+    other = same.select(*scope, F.col("method").alias("__method"), F.col("min_samples").alias("__least"), F.col("pos").alias("__pos"), F.col("path").alias("counterpart"))
+    both = models.join(other, scope).where("method <> __method")
+    order = F.struct((~F.col("min_samples").eqNullSafe(F.col("__least"))).alias("no"), F.col("__pos").alias("pos"))
+    best = both.groupBy("path").agg(F.min_by("counterpart", order).alias("counterpart"))
+    return models.select("path").join(best, "path", "left")
+
+
+def resolve_wells(points: DataFrame, matches: DataFrame, wells: DataFrame) -> DataFrame:
+    """(id, well_id, is_new) of points (id, name, lat, lng, pos) by their matches (id, kind, well_id); unmatched ones go [J23].
+
+    New points get ids of name and place; of those with one id, and where a well has it already, the later get
+    -2, -3 and so on in order of pos.
+    """
+    joined = points.join(matches.select("id", "kind", F.col("well_id").cast("string").alias("well_id")), "id")
+    old = joined.where("kind in ('id', 'name', 'proximity')").select("id", "well_id", F.lit(False).alias("is_new"))
+    base = S.aqx_id(F.coalesce("name", F.lit("")), F.col("lat"), F.col("lng"))
+    new = joined.where("kind = 'new'").select("id", "pos", base.alias("base"))
+    taken = wells.select(F.col("well_id").cast("string").alias("base")).distinct().withColumn("held", F.lit(1))
+    w = Window.partitionBy("base").orderBy("pos")
+    ranked = new.join(taken, "base", "left").withColumn("k", F.row_number().over(w) + F.coalesce("held", F.lit(0)))
+    made = F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("k").cast("string")))
+    return old.unionByName(ranked.select("id", made.alias("well_id"), F.lit(True).alias("is_new")))

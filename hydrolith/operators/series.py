@@ -64,10 +64,122 @@ def linear(series: DataFrame, step: int, key: str = "key") -> DataFrame:
 
 def pchip(series: DataFrame, step: int, key: str = "key") -> DataFrame:
     """(key, t, y) by monotone cubics at multiples of step within the span [T02, T03]."""
-    g = on_grid(pchip_segments(series, key), step).withColumn("u", (F.col("t") - F.col("x")) / F.col("h"))
-    u, u2, u3 = F.col("u"), F.col("u") * F.col("u"), F.col("u") * F.col("u") * F.col("u")
+    return on_grid(pchip_segments(series, key), step).select(key, "t", _cubic().alias("y"))
+
+
+def _cubic() -> Column:
+    """Value at t of the cubic of the segment that it falls in; the knot's own where the segment has no end."""
+    u = (F.col("t") - F.col("x")) / F.col("h")
+    u2, u3 = u * u, u * u * u
     value = (2 * u3 - 3 * u2 + 1) * F.col("y") + (u3 - 2 * u2 + u) * F.col("h") * F.col("m0") + (-2 * u3 + 3 * u2) * F.col("y1") + (u3 - u2) * F.col("h") * F.col("m1")
-    return g.select(key, "t", F.when(F.col("x1").isNull(), F.col("y")).otherwise(value).alias("y"))
+    return F.when(F.col("x1").isNull(), F.col("y")).otherwise(value)
+
+
+def at_times(knots: DataFrame, times: DataFrame, key: str = "key") -> DataFrame:
+    """times (key, t, …) with the columns of the last knot at or before t; times outside the span of knots go [J17, T03].
+
+    One ordered pass over knots and times, so any times do and no range join is needed.
+    """
+    own = [c for c in times.columns if c not in (key, "t")]
+    held = F.struct(*[c for c in knots.columns if c != key])
+    left = knots.select(key, F.col("x").cast("double").alias("t"), held.alias("__knot"), F.lit(0).alias("__side"))
+    right = times.select(key, F.col("t").cast("double").alias("t"), F.lit(1).alias("__side"), *own)
+    w = Window.partitionBy(key).orderBy("t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__knot", F.last("__knot", True).over(w))
+    both = both.where("__side = 1 and (__knot.x1 is not null or t = __knot.x)")
+    return both.select(key, "t", *own, "__knot.*")
+
+
+def pchip_at(series: DataFrame, times: DataFrame, key: str = "key") -> DataFrame:
+    """times (key, t, …) within the span with y by monotone cubics [T02, T03]."""
+    own = [c for c in times.columns if c != key and c != "t"]
+    return at_times(pchip_segments(series, key), times, key).select(key, "t", *own, _cubic().alias("y"))
+
+
+def linear_at(series: DataFrame, times: DataFrame, key: str = "key") -> DataFrame:
+    """times (key, t, …) within the span with y by straight lines [T01, T03]."""
+    own = [c for c in times.columns if c != key and c != "t"]
+    y = F.when(F.col("x1").isNull(), F.col("y")).otherwise(F.col("y") + F.col("d") * (F.col("t") - F.col("x")))
+    return at_times(segments(series, key), times, key).select(key, "t", *own, y.alias("y"))
+
+
+def open_ended(grid: DataFrame, series: DataFrame, key: str = "key") -> DataFrame:
+    """grid (key, t, …) without times at or after the last knot [T03]."""
+    last = series.groupBy(key).agg(F.max("x").alias("__last"))
+    return grid.join(last, key).where("t < __last").drop("__last")
+
+
+def smooth_at(series: DataFrame, times: DataFrame, months: float, key: str = "key") -> DataFrame:
+    """times (key, t, …) within the span: Gaussian means at the knots, monotone cubics between them [T04, T05]."""
+    return pchip_at(kernel_smooth(series, months, key), times, key)
+
+
+def monthly_times(series: DataFrame, key: str = "key") -> DataFrame:
+    """(key, t) every month from the first knot to the last [T07]. Days that a month lacks run into the next month and stay there."""
+    span = series.groupBy(key).agg(F.min("x").alias("a"), F.max("x").alias("z"), F.count("*").alias("n")).where("n >= 2")
+    first, month = F.date_from_unix_date(F.col("a").cast("int")), F.trunc(F.date_from_unix_date(F.col("a").cast("int")), "month")
+    short = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda k: F.day(first) > F.day(F.last_day(F.add_months(month, k))))
+    span = span.withColumns({"first": first, "month": month, "short": F.get(short, F.lit(0))})
+    over = F.last_day(F.add_months("month", F.col("short")))
+    span = span.withColumn("moved", F.date_add(over, (F.day("first") - F.day(over)).cast("int")))
+    count = F.floor((F.col("z") - F.col("a")) / 28).cast("int") + 1
+    k = span.withColumn("k", F.explode(F.sequence(F.lit(0), count)))
+    date = F.when(F.col("short").isNull() | (F.col("k") < F.col("short")), F.add_months("first", F.col("k"))).otherwise(F.add_months("moved", F.col("k") - F.col("short")))
+    return k.select(key, F.unix_date(date).cast("double").alias("t"), "z").where("t <= z").drop("z")
+
+
+def chart_series(series: DataFrame, steps: int | None = 100, key: str = "key") -> DataFrame:
+    """(key, t, y, observed): a span in equal steps by monotone cubics, and the knots themselves, which win [T06].
+
+    Without ``steps``, three a knot and 50 at most. A series of one time has its knot only.
+    """
+    span = series.groupBy(key).agg(F.min("x").alias("a"), F.max("x").alias("z"), F.count("*").alias("n")).where("z > a")
+    n = F.lit(steps) if steps is not None else F.least(F.lit(50), F.col("n") * 3).cast("int")
+    times = span.withColumn("m", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m")))).select(key, (F.col("a") + (F.col("z") - F.col("a")) * F.col("k") / F.col("m")).alias("t"))
+    line = pchip_at(series, times, key).withColumn("observed", F.lit(False))
+    both = line.unionByName(series.select(key, F.col("x").cast("double").alias("t"), "y", F.lit(True).alias("observed")))
+    return both.groupBy(key, "t").agg(F.max_by("y", "observed").alias("y"), F.max("observed").alias("observed"))
+
+
+def fill_small_gaps(monthly: DataFrame, longest: int = 24, pad: int = 6, key: str = "key") -> DataFrame:
+    """(key, m, value, observed) of each month of a span: gaps filled by monotone cubics, but for the inside of longer ones [T10].
+
+    monthly: key, m, value. Of a gap of more than ``longest`` months only ``pad`` at either end are filled; series
+    of fewer than three months stay as they are.
+    """
+    knots = pchip_segments(monthly.select(key, F.col("m").alias("x"), F.col("value").alias("y")), key)
+    g = on_grid(knots, 1)
+    seen = F.col("x1").isNull() | (F.col("t") == F.col("x")) | (F.col("t") == F.col("x1"))
+    inside = (F.col("x1") - F.col("x") - 1 > longest) & (F.col("t") >= F.col("x") + pad + 1) & (F.col("t") <= F.col("x1") - pad - 1)
+    value = F.when(seen | (~inside & (F.col("n") >= 3)), _cubic())
+    return g.select(key, F.col("t").alias("m"), value.alias("value"), seen.alias("observed"))
+
+
+def qualified_series(series: DataFrame, least: int, span_years: float, key: str = "key") -> DataFrame:
+    """Series of enough knots, two at least, and long enough [A04]."""
+    good = series.groupBy(key).agg(F.count("*").alias("__n"), ((F.max("x") - F.min("x")) / 365.25).alias("__span"))
+    return series.join(good.where((F.col("__n") >= max(2, least)) & (F.col("__span") >= span_years)).select(key), key, "left_semi")
+
+
+def temporal_step(series: DataFrame, start: str, end: str, months: int, method: str = "pchip", least: int = 2, span_years: float = 0.0, window: float = 12, key: str = "key") -> DataFrame:
+    """(key, frame_date, value) at dates so many months apart within each qualified series' span [T16, T15].
+
+    method: 'pchip', 'linear' or 'moving-average', whose window is in months.
+    """
+    good = qualified_series(series, least, span_years, key)
+    step = F.expr(f"interval {months} month")
+    dates = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), step)
+    spans = good.groupBy(key).agg(F.min("x").alias("a"), F.max("x").alias("z"))
+    times = spans.withColumn("frame_date", F.explode(dates)).withColumn("t", F.unix_date("frame_date").cast("double")).where("t between a and z").select(key, "t", "frame_date")
+    found = {"pchip": pchip_at, "linear": linear_at, "moving-average": lambda s, t, k: smooth_at(s, t, window, k)}[method](good, times, key)
+    return found.select(key, "frame_date", F.col("y").alias("value"))
+
+
+def resample_months(series: DataFrame, key: str = "key") -> DataFrame:
+    """(key, month, y) at the first of each month within the span by monotone cubics [T20]."""
+    span = series.groupBy(key).agg(F.date_from_unix_date(F.min("x").cast("int")).alias("start"), F.date_from_unix_date(F.max("x").cast("int")).alias("end"))
+    times = month_grid(span).select(key, F.unix_date("month").cast("double").alias("t"), "month")
+    return pchip_at(series, times, key).select(key, "month", "y")
 
 
 def kernel_smooth(series: DataFrame, months: float, key: str = "key") -> DataFrame:

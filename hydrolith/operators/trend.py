@@ -104,3 +104,8 @@ def group_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, sample deviation, median and count of a metric [A16, A23]."""
     v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
     return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"), F.count(v).alias("count"))
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key in an order [W07]. The group limit is pushed below the shuffle by the optimiser."""
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__k") <= n).drop("__k")

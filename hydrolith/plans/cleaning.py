@@ -280,3 +280,20 @@ def _(t):
 def _(t):
     a, b = (t.measurements.where(F.col("data_type") == k).select(*DAY) for k in ("A", "R"))
     return a.intersect(b).withColumn("kind", F.lit("both")).union(a.exceptAll(b).distinct().join(b, DAY, "left_anti").withColumn("kind", F.lit("only A")))
+
+
+SCOPE = "SELECT o_orderkey AS path, o_orderpriority AS method, (o_orderkey % 3)::BIGINT AS min_samples, o_orderkey AS pos, o_custkey, o_orderstatus FROM orders"
+
+
+@query("J20_counterparts", f"""WITH m AS ({SCOPE}), c AS (SELECT a.path, b.path AS counterpart, row_number() OVER (PARTITION BY a.path ORDER BY (a.min_samples <> b.min_samples)::INT, b.pos) AS k FROM m a JOIN m b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus AND a.method <> b.method)
+SELECT m.path, c.counterpart FROM m LEFT JOIN c ON m.path = c.path AND k = 1""")
+def _(t):
+    k = F.col("o_orderkey")
+    models = t.read("orders").select(k.alias("path"), F.col("o_orderpriority").alias("method"), (k % 3).alias("min_samples"), k.alias("pos"), "o_custkey", "o_orderstatus")
+    return merge.counterparts(models, ["o_custkey", "o_orderstatus"])
+
+
+@query("J23_resolve_wells")
+def _(t):
+    p = points(t).withColumn("pos", F.col("id").cast("long"))
+    return merge.resolve_wells(p, matched(t), t.wells)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydrolith.functions import scalars as S
-from hydrolith.operators import impute
+from hydrolith.operators import impute, metrics
 from hydrolith.plans.registry import query, r, sql
 
 
@@ -40,3 +40,62 @@ def _(t):
 @query("M12_ridge")
 def _(t):
     return impute.impute_series(t.monthly.select("key", "m", "value"), "ridge")
+
+
+def _series(t):
+    return t.monthly.select("key", "m", "value")
+
+
+@query("M07_search")
+def _(t):
+    return impute.impute_series(_series(t), "search")
+
+
+@query("M16_euler_reservoir")
+def _(t):
+    return impute.impute_series(_series(t), "euler")
+
+
+@query("M17_ensemble")
+def _(t):
+    return impute.impute_series(_series(t), "ensemble")
+
+
+@query("M19_polynomial")
+def _(t):
+    return impute.impute_series(_series(t), "polynomial")
+
+
+@query("M21_process")
+def _(t):
+    return impute.impute_series(_series(t), "process")
+
+
+@query("M22_residual_process")
+def _(t):
+    return impute.impute_series(_series(t), "residual")
+
+
+@query("M25_denoised")
+def _(t):
+    return impute.impute_series(_series(t), "denoised")
+
+
+@query("M04_donor_matrix")
+def _(t):
+    return impute.impute_with_donors(t.monthly, "grp")
+
+
+@query("M10_support_loop")
+def _(t):
+    return impute.impute_supported(t.monthly, "grp")
+
+
+@query("V08_holdout_benchmark")
+def _(t):
+    return metrics.fit_metrics(impute.holdout_benchmark(_series(t), ["elm", "euler", "ridge"]), ["method"])
+
+
+@query("M01_elm_fit")
+def _(t):
+    return metrics.fit_metrics(impute.holdout_benchmark(_series(t), ["elm"]), ["key"])

@@ -134,6 +134,12 @@ DATED = {
     "W09_union": "obs_date",
     "W10_intersect_except": "obs_date",
     "T08_month_grid": "month",
+    "T15_temporal_smooth": "frame_date",
+    "T16_temporal_linear": "frame_date",
+    "T16_temporal_step": "frame_date",
+    "T20_resample": "month",
+    "I13_raster_frames": "frame_date",
+    "I13_raster_pipeline": "frame_date",
     "R01_cross_section": "frame_date",
     "R02_cell_at": "frame_date",
     "R03_contours": "frame_date",

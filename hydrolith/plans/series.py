@@ -104,3 +104,84 @@ def _(t):
 def _(t):
     w = Window.partitionBy("well_id").orderBy("obs_date", "pos")
     return t.measurements.select("pos", S.js_round(F.sum("value").over(w), 2).alias("total"))
+
+
+#: The knots with slopes, and the cubic at times tt (key, t).
+SLOPES = PCHIP.split("\npv AS")[0].rstrip().rstrip(",")
+CUBIC = "(2 * u * u * u - 3 * u * u + 1) * y + (u * u * u - 2 * u * u + u) * h * m0 + (-2 * u * u * u + 3 * u * u) * y1 + (u * u * u - u * u) * h * m1"
+AT = "av AS (SELECT sm.key, t, (t - x) / h AS u, y, y1, h, m0, m1 FROM sm JOIN tt ON tt.key = sm.key AND (t >= x AND (t < x1 OR i = n - 1 AND t = x1)))"
+
+
+@query("T03_open_end", sql(f"{PCHIP}, e AS (SELECT key, max(x) AS z FROM daily GROUP BY key) SELECT pv.key, t, {r(CUBIC, 7)} AS y FROM pv JOIN e ON e.key = pv.key AND t < z", "daily"))
+def _(t):
+    return T.open_ended(T.pchip(t.daily, 30), t.daily).select("key", "t", S.js_round(F.col("y"), 7).alias("y"))
+
+
+@query("T06_chart_series", sql(f"{SLOPES}, sp AS (SELECT key, min(x) AS a, max(x) AS z FROM daily GROUP BY key HAVING max(x) > min(x)), tt AS (SELECT key, a + (z - a) * k / 100.0::DOUBLE AS t FROM sp, range(0, 101) g(k)), {AT} SELECT key, t, {r(CUBIC, 6)} AS y, false AS observed FROM av WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.key = av.key AND d.x = av.t) UNION ALL SELECT key, x::DOUBLE, {r('y', 6)}, true FROM daily", "daily"))
+def _(t):
+    return T.chart_series(t.daily).withColumn("y", S.js_round(F.col("y"), 6))
+
+
+@query("T06_preview", sql(f"{SLOPES}, sp AS (SELECT key, min(x) AS a, max(x) AS z, least(50, 3 * count(*)) AS m FROM daily GROUP BY key HAVING max(x) > min(x)), tt AS (SELECT key, a + (z - a) * k / m::DOUBLE AS t FROM sp, range(0, 51) g(k) WHERE k <= m), {AT} SELECT key, t, {r(CUBIC, 6)} AS y FROM av WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.key = av.key AND d.x = av.t)", "daily"))
+def _(t):
+    line = T.chart_series(t.daily, None).where("not observed")
+    return line.select("key", "t", S.js_round(F.col("y"), 6).alias("y"))
+
+
+@query("T05_smooth_model")
+def _(t):
+    return T.smooth_at(t.daily, T.monthly_times(t.daily), 12).select("key", "t", "y")
+
+
+MONTHLY_AS_DAILY = "daily AS (SELECT key, m AS x, value AS y FROM monthly)"
+
+
+@query("T10_small_gaps", sql(f"{MONTHLY_AS_DAILY}, {SLOPES}, tt AS (SELECT sg.key, g.k AS t FROM (SELECT key, min(x) AS a, max(x) AS z FROM sg GROUP BY key) sg, range(23000, 25000) g(k) WHERE k BETWEEN a AND z), {AT.replace('t, (t - x)', 't, x, x1, n, (t - x)')} SELECT key, t::BIGINT AS m, CASE WHEN t = x OR t = x1 OR n >= 3 AND NOT (x1 - x - 1 > 2 AND t >= x + 1 AND t <= x1 - 1) THEN {r(CUBIC, 6)} END AS value, t = x OR t = x1 AS observed FROM av", "monthly"))
+def _(t):
+    f = T.fill_small_gaps(t.monthly.select("key", "m", "value"), 2, 0)
+    return f.withColumn("value", S.js_round(F.col("value"), 6))
+
+
+STEP = "gd AS (SELECT ok.key, a, z, (DATE '1994-01-01' + to_months(3 * k::INTEGER))::DATE AS frame_date FROM ok, range(0, 40) g(k)), tt AS (SELECT key, date_diff('day', DATE '1970-01-01', frame_date)::DOUBLE AS t, frame_date FROM gd WHERE date_diff('day', DATE '1970-01-01', frame_date) BETWEEN a AND z)"
+OK = "ok AS (SELECT key, min(x) AS a, max(x) AS z FROM daily GROUP BY key HAVING count(*) >= 10 AND (max(x) - min(x)) / 365.25 >= 5)"
+
+
+@query("T16_temporal_step", sql(f"{SLOPES}, {OK}, {STEP}, {AT} SELECT key, (DATE '1970-01-01' + t::INTEGER)::DATE AS frame_date, {r(CUBIC, 6)} AS value FROM av", "daily"))
+def _(t):
+    f = T.temporal_step(t.daily, "1994-01-01", "2003-10-01", 3, "pchip", 10, 5.0)
+    return f.withColumn("value", S.js_round(F.col("value"), 6))
+
+
+@query("T16_temporal_linear", sql(f"{SLOPES}, {OK}, {STEP} SELECT sm.key, frame_date, {r('y + d * (t - x)', 5)} AS value FROM sm JOIN tt ON tt.key = sm.key AND (t >= x AND (t < x1 OR i = n - 1 AND t = x1))", "daily"))
+def _(t):
+    f = T.temporal_step(t.daily, "1994-01-01", "2003-10-01", 3, "linear", 10, 5.0)
+    return f.withColumn("value", S.js_round(F.col("value"), 5))
+
+
+@query("T15_temporal_smooth")
+def _(t):
+    return T.temporal_step(t.daily, "1994-01-01", "2003-10-01", 3, "moving-average", 10, 5.0)
+
+
+@query("T20_resample", f"WITH daily AS (SELECT event_type AS key, date_diff('day', DATE '1970-01-01', ts::DATE) AS x, avg(value) AS y FROM events GROUP BY 1, 2), {SLOPES}, tt AS (SELECT key, date_diff('day', DATE '1970-01-01', month)::DOUBLE AS t FROM (SELECT key, unnest(generate_series(date_trunc('month', DATE '1970-01-01' + min(x)::INTEGER), (DATE '1970-01-01' + max(x)::INTEGER)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM daily GROUP BY key)), {AT} SELECT key, (DATE '1970-01-01' + t::INTEGER)::DATE AS month, {r(CUBIC, 6)} AS y FROM av")
+def _(t):
+    e = t.read("events").groupBy(F.col("event_type").alias("key"), F.unix_date(F.col("ts").cast("date")).cast("long").alias("x")).agg(F.avg("value").alias("y"))
+    return T.resample_months(e).withColumn("y", S.js_round(F.col("y"), 6))
+
+
+@query("J17_interval_join", sql(f"{SEG}, tt AS (SELECT key, x + 0.5::DOUBLE AS t FROM daily) SELECT sg.key, t, x, x1 FROM sg JOIN tt ON tt.key = sg.key AND (t >= x AND (t < x1 OR i = n - 1 AND t = x1))", "daily"))
+def _(t):
+    times = t.daily.select("key", (F.col("x") + 0.5).alias("t"))
+    return T.at_times(T.segments(t.daily), times).select("key", "t", "x", "x1")
+
+
+@query("W01_ordered_series", sql("SELECT well_id AS key, string_agg(d, '|' ORDER BY d) AS dates FROM (SELECT DISTINCT well_id, obs_date::VARCHAR AS d FROM meas) GROUP BY well_id", "meas"))
+def _(t):
+    days = F.array_sort(F.collect_set(F.col("obs_date").cast("string")))
+    return t.measurements.where("obs_date is not null").groupBy(F.col("well_id").alias("key")).agg(F.array_join(days, "|").alias("dates"))
+
+
+@query("W04_trailing_frame", sql(f"SELECT key, x, {r('avg(y) OVER (PARTITION BY key ORDER BY x ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)', 5)} AS mean FROM daily", "daily"))
+def _(t):
+    w = Window.partitionBy("key").orderBy("x").rowsBetween(-11, 0)
+    return t.daily.select("key", "x", S.js_round(F.avg("y").over(w), 5).alias("mean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydrolith.functions import scalars as S
-from hydrolith.operators import raster, spatial
+from hydrolith.operators import impute, merge, metrics, raster, series, spatial
 from hydrolith.plans.registry import query, r, sql
 from hydrolith.plans.text import HAV
 
@@ -85,7 +85,7 @@ def _(t):
     return spatial.power_idw(c, t.mean_wells, "aquifer_id").withColumn("value", S.js_round(F.col("value"), 3))
 
 
-@query("I06_shepard_idw", sql(f"{GRID}, nn AS (SELECT cl.aquifer_id, cell_id, value, {HAV.format('lat', 'lng', 'w_lat', 'w_lng')} AS h FROM cl JOIN topwell w ON w.aquifer_id = cl.aquifer_id), rr AS (SELECT *, max(h) OVER (PARTITION BY aquifer_id, cell_id) AS R FROM nn) SELECT aquifer_id, cell_id, {r('sum(pow((R - h) / (R * h), 2) * value) FILTER (WHERE h < R) / sum(pow((R - h) / (R * h), 2)) FILTER (WHERE h < R)', 3)} AS value FROM rr GROUP BY ALL", "edge", "topwell"))
+@query("I06_shepard_idw", sql(f"{GRID}, nn AS (SELECT cl.aquifer_id, cell_id, value, {HAV.format('lat', 'lng', 'w_lat', 'w_lng')} AS h FROM cl JOIN topwell w ON w.aquifer_id = cl.aquifer_id), rr AS (SELECT *, max(h) OVER (PARTITION BY aquifer_id, cell_id) AS R FROM nn) SELECT aquifer_id, cell_id, {r('coalesce(sum(pow((R - h) / (R * h), 2) * value) FILTER (WHERE h < R) / sum(pow((R - h) / (R * h), 2)) FILTER (WHERE h < R), avg(value))', 3)} AS value FROM rr GROUP BY ALL", "edge", "topwell"))
 def _(t):
     c = cells(t).select("aquifer_id", "cell_id", "lat", "lng")
     return spatial.shepard_idw(c, t.mean_wells, "aquifer_id").withColumn("value", S.js_round(F.col("value"), 3))
@@ -129,3 +129,115 @@ def _(t):
     areas = t.spark.range(200).select(F.col("id").cast("int").alias("cell_id"), (F.col("id") + 1000.0).alias("area"))
     s = raster.storage_change(t.frames, areas, 0.15, "MCM")
     return s.select("raster", "frame_date", S.js_round(F.col("change"), 5).alias("change"), S.js_round(F.col("cumulative"), 5).alias("cumulative"))
+
+
+def inner_cells(t):
+    return cells(t).where("in_mask").select("aquifer_id", "cell_id", "lat", "lng")
+
+
+@query("I04_merged_wells")
+def _(t):
+    return spatial.merged_wells(t.mean_wells, "aquifer_id")
+
+
+@query("I07_gradient")
+def _(t):
+    return spatial.by_group(t.mean_wells, inner_cells(t), "aquifer_id", lambda *x: spatial.nodal_shepard(*x, "gradient"))
+
+
+@query("I07_quadratic")
+def _(t):
+    return spatial.by_group(t.mean_wells, inner_cells(t), "aquifer_id", lambda *x: spatial.nodal_shepard(*x, "quadratic"))
+
+
+@query("I16_stable_kriging")
+def _(t):
+    return spatial.kriging(t.mean_wells, inner_cells(t), "aquifer_id", "stable")
+
+
+def _surfaces(t, method):
+    wells = t.wells.select(F.col("aquifer_id").alias("grp"), "well_id", F.col("lat").alias("w_lat"), F.col("lng").alias("w_lng"))
+    return impute.surfaces(t.monthly, wells, inner_cells(t).withColumnRenamed("aquifer_id", "grp"), "grp", method)
+
+
+@query("I10_matrix_surfaces")
+def _(t):
+    return _surfaces(t, "matrix")
+
+
+@query("I12_mode_surfaces")
+def _(t):
+    return _surfaces(t, "modes")
+
+
+@query("I14_grid_completion")
+def _(t):
+    return _surfaces(t, "grid")
+
+
+@query("I15_donor_transfer")
+def _(t):
+    return _surfaces(t, "transfer")
+
+
+FRAMED = """yr AS (SELECT m.well_id, aquifer_id, lat AS w_lat, lng AS w_lng, date_trunc('year', obs_date)::DATE AS frame_date, max(value) AS value FROM meas m JOIN well w USING (well_id) WHERE data_type = 'R' GROUP BY ALL)"""
+MASKED = f"mk AS (SELECT cl.aquifer_id, cell_id, lng, lat FROM cl JOIN edge e ON e.aquifer_id = cl.aquifer_id GROUP BY ALL HAVING count(*) FILTER (WHERE {HIT}) % 2 = 1)"
+
+
+@query("I13_raster_frames", sql(f"{GRID}, {MASKED}, {FRAMED}, nn AS (SELECT mk.aquifer_id, frame_date, cell_id, value, {HAV.format('lat', 'lng', 'w_lat', 'w_lng')} AS h FROM mk JOIN yr ON yr.aquifer_id = mk.aquifer_id), rr AS (SELECT *, max(h) OVER (PARTITION BY aquifer_id, frame_date, cell_id) AS R FROM nn) SELECT aquifer_id, frame_date, cell_id, {r('coalesce(sum(pow((R - h) / (R * h), 2) * value) FILTER (WHERE h < R) / sum(pow((R - h) / (R * h), 2)) FILTER (WHERE h < R), avg(value))', 3)} AS value FROM rr GROUP BY ALL", "edge", "well", "meas"))
+def _(t):
+    top = t.measurements.where("data_type = 'R'").groupBy(F.col("well_id").alias("key"), F.trunc("obs_date", "year").alias("frame_date")).agg(F.max("value").alias("value"))
+    wells = t.wells.select("aquifer_id", "well_id", F.col("lat").alias("w_lat"), F.col("lng").alias("w_lng"))
+    return spatial.raster_frames(top, wells, cells(t), "aquifer_id").withColumn("value", S.js_round(F.col("value"), 3))
+
+
+@query("I13_raster_pipeline")
+def _(t):
+    frames = series.temporal_step(t.daily, "1996-01-01", "1999-01-01", 12, "pchip", 10, 2.0)
+    wells = t.wells.select("aquifer_id", "well_id", F.col("lat").alias("w_lat"), F.col("lng").alias("w_lng"))
+    return spatial.raster_frames(frames, wells, cells(t), "aquifer_id", log=True, low=0.0, high=200_000.0)
+
+
+@query("V07_leave_one_out", sql(f"p AS (SELECT a.aquifer_id, a.well_id, a.value AS obs, b.value, greatest({HAV.format('a.w_lat', 'a.w_lng', 'b.w_lat', 'b.w_lng')}, 1e-6) AS h FROM topwell a JOIN topwell b ON a.aquifer_id = b.aquifer_id AND a.well_id <> b.well_id), q AS (SELECT *, max(h) OVER (PARTITION BY aquifer_id, well_id) AS R FROM p) SELECT aquifer_id, well_id, obs, {r('coalesce(sum(pow((R - h) / (R * h), 2) * value) FILTER (WHERE h < R) / sum(pow((R - h) / (R * h), 2)) FILTER (WHERE h < R), avg(value))', 3)} AS pred FROM q GROUP BY ALL", "topwell"))
+def _(t):
+    return spatial.leave_one_out(t.mean_wells, "aquifer_id").withColumn("pred", S.js_round(F.col("pred"), 3))
+
+
+@query("V07_leave_one_out_metrics")
+def _(t):
+    return metrics.fit_metrics(spatial.leave_one_out(t.mean_wells, "aquifer_id"), ["aquifer_id"])
+
+
+@query("A22_label_points")
+def _(t):
+    return spatial.label_points(t.aquifers, "aquifer_id")
+
+
+@query("G10_band_area", sql(f"{GRID}, {MASKED}, ar AS (SELECT mk.aquifer_id, radians(dx) * abs(sin(radians(lat - dy / 2)) - sin(radians(lat + dy / 2))) AS part, 6356752.3142 / sqrt(1 - (1 - pow(6356752.3142 / 6378137.0, 2)) * pow(cos(atan(pow(6356752.3142 / 6378137.0, 2) * tan(radians(lat)))), 2)) AS r FROM mk JOIN bx USING (aquifer_id)) SELECT aquifer_id, {r('sum(part * r * r)', 0)} AS area, count(*) AS n_cells FROM ar GROUP BY aquifer_id", "edge"))
+def _(t):
+    b = spatial.bounds(t.aquifers)
+    dx = (F.col("max_lng") - F.col("min_lng")) / NX
+    size = b.select("aquifer_id", dx.alias("dx"), (dx * F.cos(F.radians((F.col("min_lat") + F.col("max_lat")) / 2))).alias("dy"))
+    c = cells(t).select("aquifer_id", "lat", "in_mask").join(size, "aquifer_id")
+    return spatial.band_area(c, ["aquifer_id"]).withColumn("area", S.js_round(F.col("area"), 0))
+
+
+@query("G04_degree_distance", sql(f"SELECT well_id, {r('sqrt(pow((-112 - lng) * cos(radians((lat + 42) / 2)), 2) + pow(42 - lat, 2))', 8)} AS degrees FROM well", "well"))
+def _(t):
+    return t.wells.select("well_id", S.js_round(S.degree_distance(F.col("lat"), F.col("lng"), F.lit(42.0), F.lit(-112.0)), 8).alias("degrees"))
+
+
+@query("R05_storage_comparison", sql(f"""d AS (SELECT raster, frame_date, cell_id, value - lag(value) OVER (PARTITION BY raster, cell_id ORDER BY frame_date) AS dh FROM frame), c AS (SELECT raster, frame_date, coalesce(sum(dh * (1000.0::DOUBLE + cell_id)), 0) * 0.15 / 1e6 AS change FROM d GROUP BY ALL), s AS (SELECT raster, frame_date, {r('sum(change) OVER (PARTITION BY raster ORDER BY frame_date)', 5)} AS v FROM c)
+SELECT frame_date::VARCHAR AS t, {', '.join(f'max(v) FILTER (WHERE raster = {k}) AS value_{k}' for k in range(5))} FROM s GROUP BY frame_date""", "frame"))
+def _(t):
+    areas = t.spark.range(200).select(F.col("id").cast("int").alias("cell_id"), (F.col("id") + 1000.0).alias("area"))
+    s = raster.storage_change(t.frames, areas, 0.15, "MCM")
+    long = s.select(F.col("frame_date").cast("string").alias("t"), F.concat(F.lit("value_"), F.col("raster").cast("string")).alias("series"), S.js_round(F.col("cumulative"), 5).alias("value"), F.lit(0).alias("pos"))
+    return merge.wide_times(long, [f"value_{k}" for k in range(5)], [])
+
+
+@query("W06_nearest_ranks", sql(f"n AS (SELECT a.well_id AS id, b.well_id AS site_id, row_number() OVER (PARTITION BY a.well_id ORDER BY {HAV.format('a.lat', 'a.lng', 'b.lat', 'b.lng')}, b.well_id) AS rank FROM well a JOIN well b ON a.region_id = b.region_id AND a.well_id <> b.well_id) SELECT id, site_id, rank::INTEGER AS rank FROM n WHERE rank <= 5", "well"))
+def _(t):
+    p = t.wells.select("region_id", F.col("well_id").alias("id"), "lat", "lng")
+    s = t.wells.select("region_id", F.col("well_id").alias("site_id"), F.col("lat").alias("site_lat"), F.col("lng").alias("site_lng"))
+    return spatial.k_nearest(p, s, "region_id", 5).select("id", "site_id", "rank")

@@ -242,3 +242,18 @@ def _(t):
 @query("R06_ramp_index", "SELECT event_id, floor(CASE WHEN value / 100 < 0 THEN 0 WHEN value / 100 > 1 THEN 1 ELSE value / 100 END * 63 + 0.5)::INTEGER AS idx FROM events")
 def _(t):
     return t.read("events").select("event_id", S.ramp_index(F.col("value") / 100).alias("idx"))
+
+
+@query("P14_csv_field", """SELECT o_orderkey, CASE WHEN contains(s, ',') OR contains(s, '"') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS field FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || ', ' || o_orderstatus WHEN 1 THEN 'a "' || o_orderstatus || '"' ELSE o_orderpriority END AS s FROM orders)""")
+def _(t):
+    k = F.col("o_orderkey") % 3
+    s = F.when(k == 0, F.concat("o_orderpriority", F.lit(", "), "o_orderstatus")).when(k == 1, F.concat(F.lit('a "'), "o_orderstatus", F.lit('"'))).otherwise(F.col("o_orderpriority"))
+    return t.read("orders").select("o_orderkey", S.csv_field(s).alias("field"))
+
+
+@query("P16_mathematics", f"SELECT l_orderkey, l_linenumber, {r('ln(l_quantity)', 8)} AS log, {r('exp(-l_discount)', 8)} AS exp, {r('(exp(2 * l_tax) - 1) / (exp(2 * l_tax) + 1)', 8)} AS tanh, {r('sqrt(l_extendedprice)', 6)} AS sqrt, {r('sqrt(l_quantity * l_quantity + l_discount * l_discount)', 6)} AS hypot, {r('sin(l_quantity)', 8)} AS sin, {r('cos(l_quantity)', 8)} AS cos, ceil(l_extendedprice)::BIGINT AS ceil, floor(l_extendedprice)::BIGINT AS floor, sign(l_discount - 0.05)::DOUBLE AS sign FROM lineitem")
+def _(t):
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    parts = {"log": (F.log(q), 8), "exp": (F.exp(-d), 8), "tanh": (F.tanh("l_tax"), 8), "sqrt": (F.sqrt("l_extendedprice"), 6), "hypot": (F.hypot(q, d), 6), "sin": (F.sin(q), 8), "cos": (F.cos(q), 8)}
+    whole = [F.ceil("l_extendedprice").alias("ceil"), F.floor("l_extendedprice").alias("floor"), F.signum(d - 0.05).alias("sign")]
+    return t.read("lineitem").select("l_orderkey", "l_linenumber", *[S.js_round(c, n).alias(k) for k, (c, n) in parts.items()], *whole)

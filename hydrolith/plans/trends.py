@@ -187,3 +187,20 @@ def _(t):
 def _(t):
     h = metrics.window_holdout(t.measurements, ["well_id"], "obs_date", "1998-03-01", 2)
     return h.where("held_out").groupBy("well_id").agg(F.count("*").alias("n"))
+
+
+def _measure(name, column):
+    @query(name, sql(f"{FITTED} SELECT key, {r(METRICS[column], 5)} AS {column} FROM g GROUP BY key"))
+    def _(t):
+        f = t.read("lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_extendedprice").alias("obs"), (F.col("l_quantity") * 1500.0).alias("pred"))
+        return metrics.fit_metrics(f, ["key"]).select("key", S.js_round(F.col(column), 5).alias(column))
+
+
+for _name, _column in {"V01_pearson": "r", "V02_r2": "r2", "V03_kge": "kge", "V05_nrmse": "nrmse"}.items():
+    _measure(_name, _column)
+
+
+@query("W07_top_per_group", sql("c AS (SELECT aquifer_id, well_id, count(*) AS n FROM meas JOIN well USING (well_id) GROUP BY ALL) SELECT aquifer_id, well_id, n FROM (SELECT *, row_number() OVER (PARTITION BY aquifer_id ORDER BY n DESC, well_id) AS k FROM c) WHERE k <= 8", "meas", "well"))
+def _(t):
+    counts = t.measurements.groupBy("well_id").agg(F.count("*").alias("n")).join(t.wells.select("well_id", "aquifer_id"), "well_id")
+    return trend.top_per_group(counts, ["aquifer_id"], [F.desc("n"), F.col("well_id")], 8).select("aquifer_id", "well_id", "n")

@@ -89,3 +89,101 @@ def test_streams_count_and_append_once(spark, tmp_path):
     for k in (1, 2):
         ingest.append_new_keys(ingest.events(spark, str(tmp_path / "in")), str(tmp_path / "store"), ["event_id"], str(tmp_path / f"cp{k}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 40
+
+
+def test_nodal_shepard_restores_planes_and_quadratics():
+    rng = np.random.default_rng(1)
+    lat, lng = 40 + rng.random(14), -112 + rng.random(14)
+    plane = 3 * lat + 2 * lng
+    at_lat, at_lng = lat[:5] + 0.02, lng[:5] - 0.03
+    for form in ("gradient", "quadratic"):
+        assert spatial.nodal_shepard(lat, lng, plane, at_lat, at_lng, form) == pytest.approx(3 * at_lat + 2 * at_lng, abs=1e-6)
+    assert spatial.nodal_shepard(lat, lng, plane, lat, lng) == pytest.approx(plane, rel=1e-6)
+    assert spatial.nodal_shepard(lat[:1], lng[:1], plane[:1], lat, lng).tolist() == [plane[0]] * 14
+    assert np.isnan(spatial.nodal_shepard(lat[:0], lng[:0], plane[:0], lat, lng)).all()
+
+
+def test_poles_of_a_square_and_a_corner():
+    assert spatial.pole_of_inaccessibility([[0, 0], [2, 0], [2, 2], [0, 2]]) == pytest.approx((1, 1), abs=0.002)
+    x, y = spatial.pole_of_inaccessibility([[0, 0], [4, 0], [4, 1], [1, 1], [1, 4], [0, 4]])
+    assert x == pytest.approx(y) == pytest.approx(2 - np.sqrt(2), abs=0.01)
+
+
+def test_label_points_take_the_largest_ring(spark):
+    small, large = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]], [[5.0, 5.0], [7.0, 5.0], [7.0, 7.0], [5.0, 7.0]]
+    got = spatial.label_points(spark.createDataFrame([("a", 0, small), ("a", 1, large)], "k string, pos int, ring array<array<double>>"), "k").collect()
+    assert [(r["k"], round(r["lng"], 2), round(r["lat"], 2)) for r in got] == [("a", 6.0, 6.0)]
+
+
+def test_every_imputer_keeps_the_season():
+    m = np.arange(120)
+    y = 10 + 3 * np.cos(2 * np.pi * m / 12) + 0.02 * m
+    x = impute.seasonal_features(m)
+    seen = m % 7 > 1
+    for name, fit in impute.METHODS.items():
+        guess = fit(x, np.where(seen, y, np.nan), m.astype(float), impute.rng_for(1))
+        assert np.corrcoef(guess[~seen], y[~seen])[0, 1] > 0.9, name
+    wells = np.vstack([np.where((m > 30) & (m < 60), np.nan, y + 1), 2 * y, 5 - y, np.random.default_rng(0).normal(size=120)])
+    for got in (impute.complete_with_donors(wells, 0, m), impute.supported(wells, 0, m, impute.rng_for(3))):
+        assert np.abs(got - y - 1).max() < 1
+
+
+def test_monthly_times_run_over_short_months(spark):
+    def day(s):
+        return (np.datetime64(s) - np.datetime64("1970-01-01")).astype(int).item()
+
+    rows = [(1, day("2001-01-31"), 0.0), (1, day("2001-04-30"), 1.0), (2, day("2001-05-05"), 0.0), (2, day("2001-07-05"), 1.0), (3, 5, 1.0)]
+    got = series.monthly_times(spark.createDataFrame(rows, "key long, x long, y double")).collect()
+    assert sorted((r["key"], r["t"]) for r in got) == [(1, day("2001-01-31")), (1, day("2001-03-03")), (1, day("2001-04-03")), (2, day("2001-05-05")), (2, day("2001-06-05")), (2, day("2001-07-05"))]
+
+
+def test_small_gaps_are_filled_and_large_ones_blank_inside(spark):
+    rows = [(1, m, float(m)) for m in (0, 1, 3, 10, 11)] + [(2, 0, 1.0), (2, 2, 3.0)]
+    got = {(r["key"], r["m"]): r["value"] for r in series.fill_small_gaps(spark.createDataFrame(rows, "key long, m long, value double"), 3, 1).collect()}
+    assert got[1, 2] == pytest.approx(2) and got[1, 4] == pytest.approx(4) and got[1, 9] == pytest.approx(9)
+    assert all(got[1, m] is None for m in range(5, 9))
+    assert got[2, 1] is None and len(got) == 15
+
+
+def test_counterparts_and_resolved_wells(spark):
+    from hydrolith.operators import merge
+
+    models = spark.createDataFrame([("a", "x", 1, 0, "s"), ("b", "y", 2, 1, "s"), ("c", "y", 1, 2, "s"), ("d", "x", 1, 3, "t")], "path string, method string, min_samples long, pos long, scope string")
+    assert dict(map(tuple, merge.counterparts(models, ["scope"]).collect())) == {"a": "c", "b": "a", "c": "a", "d": None}
+    points = spark.createDataFrame([("1", "A", 1.0, 2.0, 0), ("2", "A", 1.0, 2.0, 1), ("3", None, 1.0, 2.0, 2), ("4", "z", None, None, 3), ("5", "q", 1.0, 1.0, 4)], "id string, name string, lat double, lng double, pos long")
+    matches = spark.createDataFrame([("1", "new", None), ("2", "new", None), ("3", "new", None), ("4", "unmatched", None), ("5", "id", "w5")], "id string, kind string, well_id string")
+    wells = spark.createDataFrame([("w5",)], "well_id string")
+    got = {r["id"]: r["well_id"] for r in merge.resolve_wells(points, matches, wells).collect()}
+    assert got["5"] == "w5" and "4" not in got and got["2"] == got["1"] + "-2" and got["3"].startswith("aqx-1.00N")
+
+
+def test_columns_are_mapped_by_name():
+    assert files.map_columns(["Well ID", "Station", "Sample Date", "Latitude (deg)", "lon", "v"], "measurements") == {"well_id": "Well ID", "well_name": "Station", "date": "Sample Date", "lat": "Latitude (deg)", "long": "lon"}
+    assert files.map_columns(["id", "Aquifer Name"], "aquifer") == {"aquifer_id": "id", "aquifer_name": "Aquifer Name"}
+    assert files.map_columns([], "wells") == {}
+
+
+def test_region_folders_are_loaded_renamed_and_deleted(spark, tmp_path):
+    for name in ("guam", "oregon"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "region.json").write_text(json.dumps({"id": name, "name": name.title(), "lengthUnit": "ft", "singleUnit": True}))
+        (tmp_path / name / "wells.csv").write_text("well_id,well_name,lat,long,gse,aquifer_id\nA,,40.5,-112,12,1\n")
+        (tmp_path / name / "data_wte.csv").write_text("well_id,date,value,aquifer_id\nA,2001-02-03,3.5,1\n")
+    (tmp_path / "guam" / "raster_wte_old.json").write_text(json.dumps({"title": "Old", "code": "old", "frames": [{"date": "2001-01-01", "values": [1, None]}]}))
+    (tmp_path / "guam" / "raster_salt_new.json").write_text("{}")
+    found = files.load_all(spark, str(tmp_path))
+    assert {(r["region_id"], r["well_id"]) for r in found["wells"].collect()} == {("guam", "A"), ("oregon", "A")}
+    assert {(r["region_id"], r["data_type"], r["value"]) for r in found["measurements"].collect()} == {("guam", "wte", 3.5), ("oregon", "wte", 3.5)}
+    assert found["regions"].count() == 2
+    assert files.rename(spark, str(tmp_path / "guam"), "raster", "wte", "old", "Fresh Map") == "raster_wte_fresh_map.json"
+    kept = json.loads((tmp_path / "guam" / "raster_wte_fresh_map.json").read_text())
+    assert kept == {"title": "Fresh Map", "code": "fresh_map", "frames": [{"date": "2001-01-01", "values": [1, None]}]}
+    got = {(r["file"], r["code"], r["data_type"]) for r in files.metadata(spark, str(tmp_path), "raster").collect()}
+    assert got == {("raster_wte_fresh_map.json", "fresh_map", "wte"), ("raster_salt_new.json", "new", "salt")}
+    assert files.delete(spark, str(tmp_path), "oregon") and not (tmp_path / "oregon").exists()
+    with pytest.raises(ValueError):
+        files.delete(spark, str(tmp_path), "../x")
+    region, aquifers = files.new_region(spark, "Great Basin", "ft", True)
+    assert region.first()["id"] == "great_basin" and aquifers.first()["aquifer_id"] == "0"
+    with pytest.raises(ValueError):
+        files.uploaded(spark, "a.exe")

@@ -47,7 +47,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_other_queries_run(spark, name):
-    assert registry.queries()[name](spark, FOLDER).count() > 0 or name == "R03_contours"  # so few cells have no neighbours
+    assert registry.queries()[name](spark, FOLDER).count() > 0 or name in ("R03_contours", "V07_leave_one_out_metrics")  # so few cells and wells have no neighbours
 
 
 def test_entry_point(spark):
