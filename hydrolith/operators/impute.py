@@ -78,8 +78,11 @@ def reservoir(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Generator
     return design @ weights * scale + (lo + hi) / 2
 
 
-def euler_reservoir(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Generator, size: int = 40, radius: float = 0.9, leak: float | np.ndarray = 0.3, alpha: float = 1e-2, dt: float = 0.1, both_ways: bool = False) -> np.ndarray:
-    """Reservoir by Euler steps x += dt (tanh(W u + R x) - leak x) with a ridge readout [M16]; both_ways adds states from the end back [M17]."""
+def euler_reservoir(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Generator, size: int = 40, radius: float = 0.9, leak: float | np.ndarray = 0.3, alpha: float = 1e-2, dt: float = 0.1, both_ways: bool = False, liquid: bool = False) -> np.ndarray:
+    """Reservoir by Euler steps x += dt (tanh(W u + R x) - leak x) with a ridge readout [M16].
+
+    both_ways adds states from the end back [M17]; liquid multiplies the leak by 1 + tanh(mean of the inputs but the first) / 2 [M20].
+    """
     seen = np.isfinite(observed)
     lo, hi = (observed[seen].min(), observed[seen].max()) if seen.any() else (0.0, 1.0)
     scale = (hi - lo) / 1.6 or 1.0
@@ -91,7 +94,8 @@ def euler_reservoir(inputs: np.ndarray, observed: np.ndarray, rng: np.random.Gen
         wres *= radius / top if top > 1e-10 else radius
         x, states = np.zeros(size), np.empty((len(u), size))
         for i, v in enumerate(u):
-            x = x + dt * (np.tanh(win @ v + wres @ x) - leak * x)
+            pace = 1 + 0.5 * np.tanh(v[1:].mean()) if liquid and len(v) > 1 else 1.0
+            x = x + dt * (np.tanh(win @ v + wres @ x) - pace * leak * x)
             states[i] = x
         return states
 
@@ -281,6 +285,7 @@ METHODS: dict[str, Callable[..., np.ndarray]] = {
     "reservoir": lambda x, y, m, rng: reservoir(_driven(x, y), y, rng),
     "ridge": lambda x, y, m, rng: x @ ridge(x[np.isfinite(y)], y[np.isfinite(y)], 0.01),
     "euler": lambda x, y, m, rng: euler_reservoir(_driven(x, y), y, rng),
+    "liquid": lambda x, y, m, rng: euler_reservoir(_driven(x, y), y, rng, liquid=True),
     "search": lambda x, y, m, rng: search_reservoir(_driven(x, y), y, rng)[1],
     "ensemble": lambda x, y, m, rng: ensemble_reservoir(_driven(x, y), y)[0],
     "polynomial": lambda x, y, m, rng: polynomial_placeholder(m, x[:, 1:-1], y),
@@ -293,7 +298,7 @@ METHODS: dict[str, Callable[..., np.ndarray]] = {
 def impute_series(monthly: DataFrame, method: str = "elm", seed: int = 42, least: int = 8) -> DataFrame:
     """(key, m, observed, value): every month of a series from its first to its last.
 
-    Methods: 'elm' [M02], 'reservoir' [M06], 'ridge' [M12], 'euler' [M16], 'search' [M07], 'ensemble' [M17],
+    Methods: 'elm' [M02], 'reservoir' [M06], 'ridge' [M12], 'euler' [M16], 'liquid' [M20], 'search' [M07], 'ensemble' [M17],
     'polynomial' [M19], 'process' [M21], 'residual' (a reservoir with a process on what it leaves) [M22], 'denoised' [M25].
 
     monthly: key, m, value. Observed months keep their value; a series with fewer than ``least`` months gets its mean.
@@ -484,3 +489,48 @@ def surfaces(monthly: DataFrame, wells: DataFrame, cells: DataFrame, group: str,
     done = complete_matrix(monthly, group)
     placed = done.join(wells.select(group, F.col("well_id").alias("key"), "w_lat", "w_lng"), [group, "key"]).select(group, "key", "m", "value", "w_lat", "w_lng")
     return placed.groupBy(group).cogroup(cells.select(group, "cell_id", "lat", "lng").groupBy(group)).applyInPandas(run, f"{group} {kind}, cell_id int, m long, value double")
+
+
+def auxiliary_weights(series: DataFrame, auxiliaries: DataFrame, least: float = 0.15) -> DataFrame:
+    """(key, aux, r, weight): r squared of each auxiliary with a series, 0 below ``least`` unless none reaches it and it is the best; the highest becomes 1 [M13].
+
+    series: key, m, value; auxiliaries: key, m, aux, x.
+    """
+    r = F.coalesce(F.nanvl(F.corr("value", "x"), F.lit(0.0)), F.lit(0.0))
+    found = series.join(auxiliaries, ["key", "m"]).groupBy("key", "aux").agg(r.alias("r"))
+    own = Window.partitionBy("key")
+    square = F.col("r") * F.col("r")
+    rank = F.row_number().over(own.orderBy(F.abs("r").desc(), "aux"))
+    kept = found.withColumn("__any", F.max(F.abs("r")).over(own) >= least).withColumn("__rank", rank)
+    kept = kept.withColumn("weight", F.when((F.abs("r") >= least) | (~F.col("__any") & (F.col("__rank") == 1)), square).otherwise(0.0))
+    top = F.max("weight").over(own)
+    return kept.select("key", "aux", "r", F.when(top > 0, F.col("weight") / top).otherwise(0.0).alias("weight"))
+
+
+def neighbour_means(series: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, m, value): of each series' neighbours the mean by 1 / (1 + kilometres); one without a value counts as 0 [M23].
+
+    series: key, m, value; near: id, site_id, distance in metres, as k_nearest() gives them.
+    """
+    weight = 1 / (1 + F.col("distance") / 1000)
+    graph = near.select(F.col("id").alias("key"), F.col("site_id").alias("__site"), weight.alias("w"))
+    total = graph.groupBy("key").agg(F.sum("w").alias("total"))
+    values = series.select(F.col("key").alias("__site"), "m", F.col("value").alias("v"))
+    sums = graph.join(values, "__site").groupBy("key", "m").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    return sums.join(total, "key").select("key", "m", (F.col("s") / F.col("total")).alias("value"))
+
+
+def full_series(monthly: DataFrame, group: str, longest: int = 24, pad: int = 6) -> DataFrame:
+    """(group, key, m, observed, value, fill_stage) of every month of a group: small gaps by cubics, the rest from donors [M08, M11, K12, T19].
+
+    What cubics filled supports the donors' matrix as if it were observed.
+    """
+    from hydrolith.operators.series import combined, fill_small_gaps
+
+    groups = monthly.select(group, "key").distinct()
+    small = fill_small_gaps(monthly.select("key", "m", "value"), longest, pad).where("value is not null").join(groups, "key")
+    model = impute_with_donors(small.select(group, "key", "m", "value"), group).select(group, "key", "m", F.col("value").alias("model"))
+    seen = monthly.groupBy("key", "m").agg(F.avg("value").alias("observed"))
+    both = model.join(small.select("key", "m", F.col("value").alias("small")), ["key", "m"], "left").join(seen, ["key", "m"], "left")
+    value, stage = combined(F.col("observed"), F.col("small"), F.col("model"))
+    return both.select(group, "key", "m", "observed", value.alias("value"), stage.alias("fill_stage"))

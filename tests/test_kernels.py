@@ -187,3 +187,32 @@ def test_region_folders_are_loaded_renamed_and_deleted(spark, tmp_path):
     assert region.first()["id"] == "great_basin" and aquifers.first()["aquifer_id"] == "0"
     with pytest.raises(ValueError):
         files.uploaded(spark, "a.exe")
+
+
+def test_zipped_shapefiles_are_read(spark, tmp_path):
+    import struct
+    import zipfile
+
+    from hydrolith.sources import shapefile
+
+    outer, hole = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]
+    points = [v for p in outer + hole for v in p]
+    body = struct.pack("<i4d2i2i", 5, 0, 0, 4, 4, 2, 9, 0, 5) + struct.pack(f"<{len(points)}d", *points)
+    shp = bytes(100) + struct.pack(">2i", 1, len(body) // 2) + body + struct.pack(">2i", 2, 2) + struct.pack("<i", 0)
+    field = b"NAME".ljust(11, b"\0") + b"C" + bytes(4) + bytes([6]) + bytes(15)
+    dbf = struct.pack("<4sihh", b"\x03\x01\x01\x01", 2, 32 + 32 + 1, 7).ljust(32, b"\0") + field + b"\x0d" + b" basin " + b" none  "
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.shp", shp)
+        z.writestr("a.dbf", dbf)
+        z.writestr("a.prj", "GEOGCS")
+    got = shapefile.shapefiles(spark, str(tmp_path / "a.zip")).collect()
+    assert [(r["pos"], [tuple(p) for p in r["ring"]], r["properties"], r["prj"]) for r in got] == [(0, outer, {"NAME": "basin"}, "GEOGCS")]
+
+
+def test_full_series_say_where_values_come_from(spark):
+    rows = [(1, k, m, 10 + k + np.sin(m / 2)) for k in (1, 2) for m in range(60) if not (k == 1 and (m in (5, 6) or 20 <= m < 40))]
+    got = impute.full_series(spark.createDataFrame([(a, b, c, float(d)) for a, b, c, d in rows], "grp long, key long, m long, value double"), "grp", 6, 1).collect()
+    stages = {(r["key"], r["m"]): r["fill_stage"] for r in got}
+    assert len(stages) == len(got) == 120
+    assert stages[1, 4] == "observed" and stages[1, 5] == "small_gap_pchip" and stages[1, 20] == "small_gap_pchip" and stages[1, 30] == "large_gap_mc_lnn_iterative"
+    assert max(abs(r["value"] - (10 + r["key"] + np.sin(r["m"] / 2))) for r in got) < 1
