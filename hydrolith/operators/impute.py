@@ -241,8 +241,8 @@ def seasonal_features(month: np.ndarray) -> np.ndarray:
     return np.column_stack([(month - month.min()) / span, *[(month % 12 == k).astype(float) for k in range(12)], np.ones(len(month))])
 
 
-def complete_matrix(monthly: DataFrame, group: str, rank: int = 8) -> DataFrame:
-    """(group, key, m, value, observed): each group's wells x months matrix completed [I10, M04]. monthly: group, key, m, value.
+def complete_matrix(monthly: DataFrame, group: str, rank: int = 8, start: str = "column", stop: str = "norm") -> DataFrame:
+    """(group, key, m, value, observed): each group's months x wells matrix completed [I10, M05]. monthly: group, key, m, value.
 
     The matrix of one aquifer is what one task holds.
     """
@@ -251,7 +251,7 @@ def complete_matrix(monthly: DataFrame, group: str, rank: int = 8) -> DataFrame:
         wide = pdf.pivot_table(index="m", columns="key", values="value", aggfunc="mean").sort_index()
         wide = wide.reindex(range(int(wide.index.min()), int(wide.index.max()) + 1))
         x = wide.to_numpy(float)
-        done = soft_impute(x, max(1, min(rank, *x.shape)))
+        done = soft_impute(x, max(1, min(rank, *x.shape)), start=start, stop=stop)
         out = pd.DataFrame(done, index=wide.index, columns=wide.columns).stack().rename("value").reset_index()
         out.columns = ["m", "key", "value"]
         out["observed"] = np.isfinite(x).ravel()

@@ -128,3 +128,8 @@ def _(t):
     s = t.wells.select("region_id", F.col("well_id").alias("site_id"), F.col("lat").alias("site_lat"), F.col("lng").alias("site_lng"))
     near = spatial.k_nearest(p, s, "region_id", 5)
     return impute.neighbour_means(_series(t), near).withColumn("value", S.js_round(F.col("value"), 3))
+
+
+@query("M05_row_means")
+def _(t):
+    return impute.complete_matrix(t.monthly, "grp", start="row", stop="cell")

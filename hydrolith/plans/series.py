@@ -128,9 +128,22 @@ def _(t):
     return line.select("key", "t", S.js_round(F.col("y"), 6).alias("y"))
 
 
-@query("T05_smooth_model")
+SMOOTHED = f"sk AS (SELECT a.key, a.x, sum(exp(-0.5 * pow((b.x - a.x) / {W4}, 2)) * b.y) / sum(exp(-0.5 * pow((b.x - a.x) / {W4}, 2))) AS y FROM daily a JOIN daily b ON a.key = b.key AND abs(a.x - b.x) <= 4 * {W4} GROUP BY ALL), {SLOPES.replace('FROM daily', 'FROM sk')}"
+
+
+@query("T05_smooth_model", sql(f"{SMOOTHED}, tt AS (SELECT key, k::DOUBLE AS t FROM (SELECT key, min(x) AS a, max(x) AS z FROM daily GROUP BY key), range(0, 15000, 30) g(k) WHERE k BETWEEN a AND z), {AT} SELECT key, t, {r(CUBIC, 3)} AS y FROM av", "daily"))
+def _(t):
+    times = T.on_grid(T.segments(t.daily), 30).select("key", "t")
+    return T.smooth_at(t.daily, times, 12).select("key", "t", S.js_round(F.col("y"), 3).alias("y"))
+
+
+@query("T07_monthly_line", sql(f"""{SMOOTHED}, f AS (SELECT key, DATE '1970-01-01' + min(x)::INTEGER AS f, max(x) AS z FROM daily GROUP BY key HAVING count(*) >= 2),
+s AS (SELECT *, list_filter(range(1, 13), lambda k: day(f) > day(last_day(date_trunc('month', f) + to_months(k::INTEGER))))[1] AS k0 FROM f),
+mv AS (SELECT *, last_day(date_trunc('month', f) + to_months(k0::INTEGER))::DATE AS e FROM s),
+tt AS (SELECT * FROM (SELECT key, z, date_diff('day', DATE '1970-01-01', (CASE WHEN k0 IS NULL OR k < k0 THEN f + to_months(k::INTEGER) ELSE e + (day(f) - day(e))::INTEGER + to_months((k - k0)::INTEGER) END)::DATE)::DOUBLE AS t FROM mv, range(0, 150) g(k)) WHERE t <= z), {AT}
+SELECT key, t, {r(CUBIC, 3)} AS y FROM av""", "daily"))
 def _(t):
-    return T.smooth_at(t.daily, T.monthly_times(t.daily), 12).select("key", "t", "y")
+    return T.smooth_at(t.daily, T.monthly_times(t.daily), 12).select("key", "t", S.js_round(F.col("y"), 3).alias("y"))
 
 
 MONTHLY_AS_DAILY = "daily AS (SELECT key, m AS x, value AS y FROM monthly)"
