@@ -216,3 +216,19 @@ def test_full_series_say_where_values_come_from(spark):
     assert len(stages) == len(got) == 120
     assert stages[1, 4] == "observed" and stages[1, 5] == "small_gap_pchip" and stages[1, 20] == "small_gap_pchip" and stages[1, 30] == "large_gap_mc_lnn_iterative"
     assert max(abs(r["value"] - (10 + r["key"] + np.sin(r["m"] / 2))) for r in got) < 1
+
+
+def test_surfaces_meet_series_at_their_wells(spark):
+    rng = np.random.default_rng(5)
+    places = [(1, k, float(40 + rng.random()), float(-112 + rng.random())) for k in range(6)]
+    values = [(1, k, m, float(100 + k + np.sin(m / 3 + k))) for k in range(6) for m in range(12) if (k, m) != (2, 5)]
+    monthly = spark.createDataFrame(values, "grp long, key long, m long, value double")
+    wells = spark.createDataFrame(places, "grp long, well_id long, w_lat double, w_lng double")
+    cells = spark.createDataFrame([(1, i, a, b) for _, i, a, b in places], "grp long, cell_id int, lat double, lng double")
+    known = {(k, m): v for _, k, m, v in values}
+    for method in ("matrix", "grid", "transfer", "modes"):
+        got = impute.surfaces(monthly, wells, cells, "grp", method, 6).collect()
+        assert len(got) == 72
+        for r in got:
+            if (r["cell_id"], r["m"]) in known:
+                assert r["value"] == pytest.approx(known[r["cell_id"], r["m"]], abs=1e-3), method
