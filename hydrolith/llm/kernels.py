@@ -95,11 +95,11 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
+def minimisers(grams: np.ndarray, window: int, every: bool = False) -> np.ndarray:
     """Positions whose hash is the least of some window of that many n-grams.
 
     Two texts that share a run of window n-grams select the same position in it. Of a run of equal hashes only
-    the first counts. A text with fewer n-grams counts as one window.
+    the first counts, unless ``every`` is set. A text with fewer n-grams counts as one window.
     """
     n = len(grams)
     if n == 0:
@@ -109,5 +109,6 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     least = sliding(grams, window, np.minimum)
     padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
     chosen = grams == sliding(padded, window, np.maximum)
-    chosen[1:] &= grams[1:] != grams[:-1]
+    if not every:
+        chosen[1:] &= grams[1:] != grams[:-1]
     return np.flatnonzero(chosen)

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import checkpoint
-from hydrolith.llm.kernels import WordHash, minimisers, ngrams, word_hashes
-from hydrolith.llm.passages import unique_documents, with_words
+from hydrolith.llm.kernels import MIX, WordHash, minimisers, mixed, ngrams, word_hashes
+from hydrolith.llm.passages import unique_documents
 
 #: Words of a minimiser, minimisers of which one is retained at least, and words by which suffixes are sorted.
 GRAM, WINDOW, PREFIX = 8, 16, 32
@@ -29,7 +28,7 @@ def suffixes(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, prefix: in
                 if len(words) < prefix:
                     continue
                 heads = ngrams(words, prefix)
-                at = minimisers(ngrams(words, gram), window)
+                at = minimisers(ngrams(words, gram), window, every=True)
                 at = at[at < len(heads)]
                 values, first = np.unique(heads[at], return_index=True)
                 hashes.append(values)
@@ -42,62 +41,45 @@ def suffixes(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, prefix: in
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
 
 
-def _neighbours(sorted_suffixes: DataFrame) -> DataFrame:
-    """(doc_id, pos, source_id, source_pos) of suffixes next to each other with equal prefixes.
+def windows(docs: DataFrame, shared: DataFrame, words: int, prefix: int) -> DataFrame:
+    """(h, g, doc_id, pos): the runs of ``words`` words in which a suffix of shared (doc_id, pos) begins, with its prefix whole.
 
-    The array is cut by ranges of (h, doc_id), so a prefix that very many documents share spans many tasks; each
-    task also hands on its first and last suffix, and the driver compares those: two rows a task.
+    h and g are hashes by two polynomials: runs that differ agree in both with a chance of 2^-96 a pair.
     """
-    names = ["doc_id", "pos", "source_id", "source_pos", "h", "task", "end"]
+    places = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    reach = np.arange(words - prefix + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, held = TaskContext.get().partitionId(), None
+        seen = WordHash()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if held is None:
-                yield border(h[0], doc[0], pos[0], task, 0)
-            else:
-                h, doc, pos = (np.concatenate([[x], y]) for x, y in zip(held, (h, doc, pos), strict=True))
-            held = h[-1], doc[-1], pos[-1]
-            at = np.flatnonzero(h[1:] == h[:-1])
-            if len(at):
-                n = len(at)
-                columns = [doc[at + 1], pos[at + 1].astype(np.int32), doc[at], pos[at].astype(np.int32), h[at]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names)
-        if held is not None:
-            yield border(*held, task, 1)
-
-    def border(h, doc, pos, task: int, end: int) -> pa.RecordBatch:
-        values = [int(doc), int(pos), None, None, int(h), task, end]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
-
-    schema = "doc_id long, pos int, source_id long, source_pos int, h long, task int, end int"
-    found = checkpoint(sorted_suffixes.mapInArrow(run, schema))
-    ends = found.where("task is not null").orderBy("task", "end").select("h", "doc_id", "pos", "end").collect()
-    across = [(b[1], b[2], a[1], a[2]) for a, b in zip(ends, ends[1:]) if a[3] == 1 and b[3] == 0 and a[0] == b[0]]
-    pairs = "doc_id long, pos int, source_id long, source_pos int"
-    inner = found.where("task is null").select("doc_id", "pos", "source_id", "source_pos")
-    return inner.union(found.sparkSession.createDataFrame(across, pairs)) if across else inner
+            for doc_id, text, at in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+                single = word_hashes(text.as_py(), seen)
+                whole = ngrams(single, words)
+                marked = np.zeros(len(whole) + words, bool)
+                for back in reach:
+                    start = at.values.to_numpy() - back
+                    marked[start[start >= 0]] = True
+                start = np.flatnonzero(marked[: len(whole)])
+                if len(start):
+                    second = ngrams(mixed(single ^ MIX), words)[start] >> np.uint64(33)
+                    columns = [whole[start].view(np.int64), second.astype(np.int32), np.full(len(start), doc_id, np.int64), start.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "doc_id", "pos"])
+
+    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(run, "h long, g int, doc_id long, pos int")
 
 
 def repeated_passages(docs: DataFrame, words: int = 50, gram: int = GRAM, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """Where documents repeat passages of earlier ones word by word.
 
     Returns doc_id, source_id (less than doc_id), start, end, source_start, source_end (first word, and the one
-    after the last) and n_words, for each longest match of ``prefix`` words or more with the nearest earlier
-    document, if the words of doc_id that such matches cover without a break number ``words`` or more. Words lie
-    between ASCII white space, A-Z in lower case. Every passage of prefix + window - 1 words or more that a document
-    shares with any earlier one is covered, if by matches with several: their union counts.
-
-    Suffixes are retained where an 8-word minimiser begins, sorted by their first words (as a hash: which order is
-    of no matter, if equal ones adjoin) and doc_id, and compared with their neighbour. Matches on one diagonal are
-    joined, then extended left and right by the texts' words; what lies beyond the outermost retained suffixes is
-    bounded by window + prefix. All copies of a passage form a path of neighbours, so rows grow with the input.
+    after the last) and n_words. Words lie between ASCII white space, A-Z in lower case. Each run of ``words`` words
+    that any earlier document has is reported with the first document and place that have it, at each of its places
+    in doc_id; runs that go on in one source at one distance are one row. So the rows cover exactly the words that
+    lie in repeats of ``words`` words or more; where the first document changes within a passage, rows overlap.
+
+    Suffixes are retained where an 8-word minimiser begins. A shared run holds one with its first ``prefix`` words,
+    so only runs around suffixes whose prefix (as a hash) several documents hold are hashed whole and compared, with
+    the first of their kind: rows grow with the input.
     Rows without a doc_id or text take no part; texts of a repeated doc_id count as one document; what is repeated
     within one document only is not looked for. Other columns are not looked at. An empty table gives an empty
     result.
@@ -105,44 +87,14 @@ def repeated_passages(docs: DataFrame, words: int = 50, gram: int = GRAM, window
     if prefix + window - 1 > words:
         raise ValueError("a passage of that many words may hold no retained suffix")
     own = unique_documents(docs)
-    order = ["h", "doc_id", "pos"]
-    near = _neighbours(suffixes(own, gram, window, prefix).repartitionByRange(*order).sortWithinPartitions(*order))
+    kept = suffixes(own, gram, window, prefix)
+    several = kept.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    runs = windows(own, kept.join(several, "h", "left_semi").select("doc_id", "pos"), words, prefix)
+    firsts = runs.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    firsts = firsts.select("h", "g", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos"))
+    near = runs.join(firsts, ["h", "g"]).where("doc_id > source_id").withColumn("shift", F.col("pos") - F.col("source_pos"))
     line = Window.partitionBy("doc_id", "source_id", "shift").orderBy("pos")
-    runs = near.withColumn("shift", F.col("pos") - F.col("source_pos")).withColumn("new", (F.coalesce(F.col("pos") - F.lag("pos").over(line), F.lit(2**30)) > prefix).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(line)).groupBy("doc_id", "source_id", "shift", "run")
-    spans = runs.agg(F.min("pos").alias("start"), (F.max("pos") + prefix).alias("end"))
+    spans = near.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc_id", "source_id", "shift", "run")
+    spans = spans.agg(F.min("pos").alias("start"), (F.max("pos") + words).alias("end"))
     spans = spans.select("doc_id", "source_id", "start", "end", (F.col("start") - F.col("shift")).alias("source_start"), (F.col("end") - F.col("shift")).alias("source_end"))
-    pad = prefix + window + gram
-    spans = with_words(spans, own, "doc_id", "start", "end", "x", pad)
-    spans = with_words(spans, own, "source_id", "source_start", "source_end", "y", pad)
-    names = ["doc_id", "source_id", "start", "end", "source_start", "source_end"]
-
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                x, y = np.array(r["x"], np.int64), np.array(r["y"], np.int64)
-                x0, x1 = r["start"] - r["x_at"], r["end"] - r["x_at"]
-                y0, y1 = r["source_start"] - r["y_at"], r["source_end"] - r["y_at"]
-                if not np.array_equal(x[x0:x1], y[y0:y1]):
-                    continue  # two prefixes had one hash
-                left, right = _equal(x[:x0][::-1], y[:y0][::-1]), _equal(x[x1:], y[y1:])
-                out.append((r["doc_id"], r["source_id"], r["start"] - left, r["end"] + right, r["source_start"] - left, r["source_end"] + right))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
-
-    found = spans.mapInArrow(extended, ", ".join(f"{n} long" for n in names))
-    by_place = Window.partitionBy("doc_id").orderBy("start", "end", "source_id", "source_start")
-    reach = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    found = found.withColumn("block", F.sum("new").over(by_place))
-    whole = Window.partitionBy("doc_id", "block")
-    found = found.withColumn("covered", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("covered") >= words)
-    return found.select(*names, (F.col("end") - F.col("start")).alias("n_words"))
-
-
-def _equal(x: np.ndarray, y: np.ndarray) -> int:
-    """Words that are equal from the start on."""
-    n = min(len(x), len(y))
-    other = np.flatnonzero(x[:n] != y[:n])
-    return int(other[0]) if len(other) else n
+    return spans.select("doc_id", "source_id", *(F.col(n).cast("long") for n in ("start", "end", "source_start", "source_end")), (F.col("end") - F.col("start")).cast("long").alias("n_words"))

@@ -1,0 +1,40 @@
+"""Searches for shared passages and near-duplicates against brute force."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from hydrolith.llm import sparse_suffix
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def prose(rng, n):
+    return [f"w{k}" for k in rng.integers(0, 100_000, n)]
+
+
+def covered(rows):
+    return {(r["doc_id"], i) for r in rows for i in range(r["start"], r["end"])}
+
+
+def repeated(texts, words):
+    """(document, word) of all words in runs of that many words which an earlier document has."""
+    held, out = set(), set()
+    for d, t in enumerate(texts):
+        runs = [tuple(t[i : i + words]) for i in range(len(t) - words + 1)]
+        out |= {(d, j) for i, r in enumerate(runs) if r in held for j in range(i, i + words)}
+        held |= set(runs)
+    return out
+
+
+def test_repeats_meet_the_longest_match_past_edited_copies(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(20):
+        passage = prose(rng, 56)
+        near = [*passage[:49], *prose(rng, 7)]  # it lies between, and shares 49 words only
+        texts += [[*prose(rng, 40), *p, *prose(rng, 30)] for p in (passage, near, passage)]
+    got = sparse_suffix.repeated_passages(frame(spark, texts)).collect()
+    assert covered(got) == repeated(texts, 50) != set()
