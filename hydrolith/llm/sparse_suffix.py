@@ -17,7 +17,7 @@ GRAM, WINDOW, PREFIX = 8, 16, 32
 
 
 def suffixes(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(h, doc_id, pos): retained suffixes of ``prefix`` words or more; h stands for the first of these. Of equal h in a document the first."""
+    """(h, doc_id, pos): retained suffixes of ``prefix`` words or more; h stands for the first of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
@@ -30,10 +30,9 @@ def suffixes(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, prefix: in
                 heads = ngrams(words, prefix)
                 at = minimisers(ngrams(words, gram), window, every=True)
                 at = at[at < len(heads)]
-                values, first = np.unique(heads[at], return_index=True)
-                hashes.append(values)
-                places.append(at[first])
-                ids.append(np.full(len(values), doc_id))
+                hashes.append(heads[at])
+                places.append(at)
+                ids.append(np.full(len(at), doc_id))
             if hashes:
                 columns = [np.concatenate(hashes).view(np.int64), np.concatenate(ids).astype(np.int64), np.concatenate(places).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc_id", "pos"])

@@ -38,3 +38,11 @@ def test_repeats_meet_the_longest_match_past_edited_copies(spark):
         texts += [[*prose(rng, 40), *p, *prose(rng, 30)] for p in (passage, near, passage)]
     got = sparse_suffix.repeated_passages(frame(spark, texts)).collect()
     assert covered(got) == repeated(texts, 50) != set()
+
+
+def test_each_place_of_a_repeat_is_reported(spark):
+    rng = np.random.default_rng(4)
+    passage = prose(rng, 60)
+    texts = [[*prose(rng, 20), *passage], [*passage, *prose(rng, 9), *passage, *passage], ["la"] * 120, [*prose(rng, 30), *["la"] * 150]]
+    got = sparse_suffix.repeated_passages(frame(spark, texts)).collect()
+    assert covered(got) == repeated(texts, 50) != set()
