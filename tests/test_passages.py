@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from hydrolith.llm import sparse_suffix
+from hydrolith.llm import chaining, sparse_suffix
 
 
 def frame(spark, texts):
@@ -46,3 +46,27 @@ def test_each_place_of_a_repeat_is_reported(spark):
     texts = [[*prose(rng, 20), *passage], [*passage, *prose(rng, 9), *passage, *passage], ["la"] * 120, [*prose(rng, 30), *["la"] * 150]]
     got = sparse_suffix.repeated_passages(frame(spark, texts)).collect()
     assert covered(got) == repeated(texts, 50) != set()
+
+
+def edited(rng, t, share):
+    """t with exactly that share of its words replaced."""
+    t = list(t)
+    at = rng.choice(len(t), round(share * len(t)), replace=False)
+    for i, w in zip(at, prose(rng, len(at))):
+        t[i] = w
+    return t
+
+
+def linked(rows):
+    return {(r["doc_id"], r["source_id"]) for r in rows}
+
+
+def test_fuzzy_passages_of_fifty_words_have_seeds(spark):
+    rng = np.random.default_rng(6)
+    for share, least in ((0.1, 0.99), (0.14, 0.9)):
+        texts = []
+        for _ in range(100):
+            passage = prose(rng, 60)
+            texts += [passage, [*edited(rng, passage[:58], share), *passage[58:]]]
+        got = linked(chaining.shared_passages(frame(spark, texts)).collect())
+        assert sum((2 * i + 1, 2 * i) in got for i in range(100)) >= 100 * least
