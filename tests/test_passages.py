@@ -70,3 +70,14 @@ def test_fuzzy_passages_of_fifty_words_have_seeds(spark):
             texts += [passage, [*edited(rng, passage[:58], share), *passage[58:]]]
         got = linked(chaining.shared_passages(frame(spark, texts)).collect())
         assert sum((2 * i + 1, 2 * i) in got for i in range(100)) >= 100 * least
+
+
+def test_copies_of_copies_are_linked(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(100):
+        first = prose(rng, 80)
+        second = edited(rng, first, 0.08)
+        texts += [first, second, edited(rng, second, 0.15)]
+    got = linked(chaining.shared_passages(frame(spark, texts)).collect())
+    assert sum((3 * i + 2, 3 * i + 1) in got for i in range(100)) >= 95
