@@ -15,6 +15,8 @@ from hydrolith.llm.quality import keep_good
 from hydrolith.llm.simhash import deduplicate
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Words from which on a line that repeats goes by itself.
+LONG_LINE = 50
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; n_chars follows the text."""
-    found = deduplicate_lines(docs)
+    """Later repeats of runs of lines, and of single lines of LONG_LINE words, go; n_chars follows the text."""
+    found = deduplicate_lines(docs, long=LONG_LINE)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)

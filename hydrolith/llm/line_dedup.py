@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrolith.llm.common import words_of
 
 def _hashed(docs: DataFrame) -> DataFrame:
     """o: order of a document (no doc_id comes last); th: hash of its text; at, h: number and hash of each line that isn't blank."""
@@ -14,7 +15,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return rows.select("o", "th", F.col("lines.i").alias("at"), F.transform("lines", lambda s: F.xxhash64(s["x"])).alias("h"))
 
 
-def repeated_lines(docs: DataFrame, run: int = 2, gram: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = 2, gram: int = 1, long: int | None = None) -> DataFrame:
     """(o, th, deleted): of each document with later repeats, the numbers of the lines to delete.
 
     A window is ``run`` lines that follow each other, blank lines aside; its fingerprint is the least hash of the
@@ -22,7 +23,8 @@ def repeated_lines(docs: DataFrame, run: int = 2, gram: int = 1) -> DataFrame:
     fingerprints at two places or more go on. Each such place is extended to the windows around it, and a window
     that some earlier place (by doc_id, then line) has as well is deleted: longer runs are unions of windows.
     Places are compared with the first of their kind, never with each other, and its search combines before it
-    shuffles, so a line in a third of all documents costs as much as any.
+    shuffles, so a line in a third of all documents costs as much as any. With ``long``, a line of so many words is
+    a run by itself.
     """
     if not 1 <= gram <= run:
         raise ValueError("a run holds one gram at least")
@@ -42,12 +44,26 @@ def repeated_lines(docs: DataFrame, run: int = 2, gram: int = 1) -> DataFrame:
     start = F.struct("o", "th", "j")
     firsts = seeds.groupBy("key").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last").select("key", "first")
     later = seeds.join(firsts, "key").where(start != F.col("first")).select("o", "th", F.explode("at").alias("line"))
+    if long is not None:
+        later = later.union(_long_lines(docs, long))
     return later.groupBy("o", "th").agg(F.collect_set("line").alias("deleted"))
 
 
-def deduplicate_lines(docs: DataFrame, run: int = 2, gram: int = 1) -> DataFrame:
+def _long_lines(docs: DataFrame, long: int) -> DataFrame:
+    """(o, th, line): later repeats of lines of ``long`` words or more."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("o"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "x"))
+    rows = rows.where(F.size(words_of(F.col("x"))) >= long).select("o", "th", "line", F.xxhash64("x").alias("h"))
+    start = F.struct("o", "th", "line")
+    firsts = rows.groupBy("h").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last").select("h", "first")
+    return rows.join(firsts, "h").where(start != F.col("first")).select("o", "th", "line")
+
+
+def deduplicate_lines(docs: DataFrame, run: int = 2, gram: int = 1, long: int | None = None) -> DataFrame:
     """docs with later repeats of runs of ``run`` lines or more deleted, and two more columns: n_lines and n_deleted.
 
+    With ``long``, later repeats of a single line of so many words or more go as well, whatever its neighbours.
+
     Lines end at a line feed and are compared whole. Blank lines (of spaces only) are never deleted nor counted,
     and don't interrupt a run. Of equal places the first by doc_id, then by line, keeps its lines; documents of one
     doc_id and different texts are ordered by a hash of the text. Rows equal in doc_id and text are one document:
@@ -55,7 +71,7 @@ def deduplicate_lines(docs: DataFrame, run: int = 2, gram: int = 1) -> DataFrame
     A text all of whose lines go becomes empty. Columns of docs stay as they are, apart from text; their own
     n_lines and n_deleted are replaced. An empty table gives an empty result.
     """
-    found = repeated_lines(docs, run, gram).select(F.col("o").alias("__o"), F.col("th").alias("__th"), F.col("deleted").alias("__deleted"))
+    found = repeated_lines(docs, run, gram, long).select(F.col("o").alias("__o"), F.col("th").alias("__th"), F.col("deleted").alias("__deleted"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"__o": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__th": F.xxhash64(text)})
     joined = keyed.join(found, ["__o", "__th"], "left")

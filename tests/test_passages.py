@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+import corpus_pipeline
 from hydrolith.llm import chaining, sparse_suffix
 
 
@@ -81,3 +82,11 @@ def test_copies_of_copies_are_linked(spark):
         texts += [first, second, edited(rng, second, 0.15)]
     got = linked(chaining.shared_passages(frame(spark, texts)).collect())
     assert sum((3 * i + 2, 3 * i + 1) in got for i in range(100)) >= 95
+
+
+def test_the_line_stage_deletes_long_single_lines(spark):
+    rng = np.random.default_rng(8)
+    line, short = " ".join(prose(rng, 50)), " ".join(prose(rng, 10))
+    texts = [(0, f"a b\n{line}\n{short}\nc d"), (1, line), (2, f"e f\n{line}\ng h\n{short}")]
+    got = corpus_pipeline.line_stage(spark, spark.createDataFrame(texts, "doc_id long, text string"), "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {0: texts[0][1], 1: "", 2: f"e f\ng h\n{short}"}
