@@ -24,22 +24,22 @@ def unique_documents(docs: DataFrame) -> DataFrame:
 def with_words(spans: DataFrame, docs: DataFrame, key: str, start: str, end: str, name: str, pad: int) -> DataFrame:
     """spans with the hashed words of document ``key`` from pad words before start to pad after end, and where they begin.
 
-    Adds ``name`` (array of long) and ``name``_at (int). Documents move once, to where their spans are.
+    Adds ``name`` (array of int, 32 bits of each hash) and ``name``_at (int). Documents move once, to where their spans are.
     """
     fields = [*spans.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}_at` int, `{name}` array<bigint>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}_at` int, `{name}` array<int>"
     texts = docs.select(F.col("doc_id").alias("__key"), F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, last, words = WordHash(), None, np.empty(0, np.uint64)
+        seen, last, words = WordHash(), None, np.empty(0, np.int32)
         for batch in batches:
             out, at = [], []
             for k, t, a, z in zip(batch.column(key).to_pylist(), batch.column("__text"), batch.column(start).to_pylist(), batch.column(end).to_pylist(), strict=True):
                 if k != last:
-                    last, words = k, word_hashes(t.as_py(), seen).view(np.int64)
+                    last, words = k, (word_hashes(t.as_py(), seen) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 at.append(max(a - pad, 0))
                 out.append(words[at[-1] : z + pad])
             keep = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(at, pa.int32()), pa.array(out, pa.list_(pa.int64()))], [*(f.name for f in fields), f"{name}_at", name])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(at, pa.int32()), pa.array(out, pa.list_(pa.int32()))], [*(f.name for f in fields), f"{name}_at", name])
 
     return spans.join(texts, F.col(key) == F.col("__key")).mapInArrow(run, schema)
