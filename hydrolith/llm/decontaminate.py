@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 
 from hydrolith.llm.kernels import WordHash, ngrams, word_hashes
 
-#: Items that are searched for in one pass over the documents; it bounds what a task holds.
-ITEMS = 20_000
-#: Bins of a sketch for each shingle of the largest item of its class. Of eight shared shingles or more, all are
-#: shadowed by smaller hashes in their bins with odds of about 1e-10; items of fewer have a bin for each hash.
-BINS, FEW = 64, 3
+#: Items, and bytes of their texts, that are searched for in one pass over the documents; they bound what a task holds.
+ITEMS, BYTES = 20_000, 1 << 26
+#: Values of a sketch beyond those that an item may lack; as many have to be met at least.
+MORE = 8
 MARKS = 20
 
 
 class Index:
-    """Items of one block by class of size: sketches to be met and the shingles that verify.
+    """Items of one block by class of size: MinHash sketches to be met and the shingles that verify.
 
-    Class c has the items of 2^c to 2^(c+1)-1 shingles. A sketch is a one-permutation MinHash: a shingle's low
-    bits choose a bin, and each bin keeps its least hash. Documents are cut into windows of 2^(c+2) shingles that
-    begin every 2^(c+1), so that an item lies whole in a window of about its size, however long the document.
+    An item of n shingles may lack m of them, the most that the threshold admits. Its sketch is the bottom of its
+    hashes: the m + MORE least, or all. A document that holds the item lacks m values of the sketch at most, so
+    the items of which it has all but m are the only candidates, and none is lost. Classes have the items of 2^c to
+    2^(c+1)-1 shingles; an item's sketch depends on its class alone, as m does but for rounding.
     """
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float) -> None:
@@ -39,50 +39,44 @@ class Index:
                 grams = np.unique(ngrams(words, n))
                 classes.setdefault((n, int(len(grams)).bit_length() - 1), []).append(len(self.items))
                 self.items.append((item_id, n, grams))
+        self.least = np.zeros(len(self.items), np.int64)
         self.classes = []
         for (n, c), members in sorted(classes.items()):
-            bins = np.uint64((BINS << (c + 1)) - 1 if c >= FEW else (1 << 64) - 1)
-            kept = [(i, self.least(self.items[i][2], bins)) for i in members]
-            values = np.concatenate([v for _, v in kept])
-            owner = np.concatenate([np.full(len(v), i) for i, v in kept])
+            size = self.lacking((2 << c) - 1) + MORE
+            kept = [self.items[i][2][:size] for i in members]  # grams ascend
+            for i, sketch in zip(members, kept, strict=True):
+                self.least[i] = max(1, len(sketch) - self.lacking(len(self.items[i][2])))
+            values, owner = np.concatenate(kept), np.repeat(members, [len(x) for x in kept])
             order = np.argsort(values, kind="stable")
-            self.classes.append((n, 2 << c, bins, values[order], owner[order]))
+            self.classes.append((n, values[order], owner[order]))
         self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({x[0] for x in self.classes}):
-            values = np.unique(np.concatenate([x[3] for x in self.classes if x[0] == n]))
+            values = np.unique(np.concatenate([x[1] for x in self.classes if x[0] == n]))
             marks = np.zeros(1 << MARKS, bool)
             marks[values >> np.uint64(64 - MARKS)] = True
             self.lengths[n] = values, marks
 
-    @staticmethod
-    def least(grams: np.ndarray, bins: np.uint64) -> np.ndarray:
-        """The least hash of each bin; grams ascend."""
-        _, first = np.unique(grams & bins, return_index=True)
-        return grams[first]
+    def lacking(self, n: int) -> int:
+        """The most shingles that a document may lack of n."""
+        return n - max(1, int(np.ceil(self.threshold * n - 1e-9)))
 
-    def candidates(self, grams: dict[int, np.ndarray]) -> set[int]:
-        """Items of which some sketch value is that of a window. A window's bin is looked at only where an item's value is."""
-        out: set[int] = set()
+    def candidates(self, grams: dict[int, np.ndarray]) -> list[int]:
+        """Items of whose sketch a document has all values but those that it may lack."""
         hits = {}
         for n, (values, marks) in self.lengths.items():
-            at = np.flatnonzero(marks[grams[n] >> np.uint64(64 - MARKS)])
-            if len(at):
-                own = grams[n][at]
-                at = at[values[np.minimum(np.searchsorted(values, own), len(values) - 1)] == own]
-            hits[n] = at
-        for n, stride, bins, values, owner in self.classes:
-            g, at = grams[n], hits[n]
-            if not len(at):
+            own = grams[n][marks[grams[n] >> np.uint64(64 - MARKS)]]
+            own = np.unique(own[values[np.minimum(np.searchsorted(values, own), len(values) - 1)] == own])
+            hits[n] = own
+        out: list[int] = []
+        for n, values, owner in self.classes:
+            own = hits[n]
+            if not len(own):
                 continue
-            at = at[values[np.minimum(np.searchsorted(values, g[at]), len(values) - 1)] == g[at]]
-            last = max((len(g) - 1) // stride - 1, 0)
-            for p in at.tolist():
-                for w in {min(p // stride, last), min(max(p // stride - 1, 0), last)}:
-                    window = g[w * stride : (w + 2) * stride] if w < last else g[w * stride :]
-                    if not np.any(window[(window & bins) == (g[p] & bins)] < g[p]):
-                        a, z = np.searchsorted(values, g[p], "left"), np.searchsorted(values, g[p], "right")
-                        out.update(owner[a:z].tolist())
-                        break
+            first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            count = last - first
+            met = owner[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            items, times = np.unique(met, return_counts=True)
+            out += items[times >= self.least[items]].tolist()
         return out
 
     def contained(self, words: np.ndarray) -> list[tuple[int, int, int]]:
@@ -106,12 +100,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
     docs that are equal in doc_id each is looked at. Other columns of either table are not looked at. An empty
     table gives an empty result.
 
-    The documents are read once, and nothing is shuffled, for each ITEMS items: items are sorted into blocks by a
-    hash, and a block is what a task holds.
+    The documents are read once, and nothing is shuffled, for each block of items: they are sorted into blocks of
+    about ITEMS items and BYTES of text by a hash, and a block is what is sent to the tasks.
     """
     own = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    n = own.count()
-    blocks = max(1, -(-n // ITEMS))
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-size // BYTES))
     result = None
     for k in range(blocks):
         rows = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)

@@ -23,13 +23,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 OUTSIDE = frozenset("nav footer aside form button select option fieldset noscript template svg canvas object audio video dialog menu head datalist".split())
 ARTICLE = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class and id that mark what isn't the article.
+#: Words in class and id that mark what isn't the article: as a part of a name outside an article, as a whole one within.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb "
     "breadcrumbs footer comment comments commentlist reply replies disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription "
     "share sharing social related widget pagination pager login signup search copyright toolbar masthead alert".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
+REPLIES = frozenset("comment comments commentlist reply replies disqus".split())
 PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -52,9 +53,9 @@ def _marks(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and value and not (tag in ARTICLE and not inside):
-            parts = set(PART.split(value))
-            if parts & MARKED or not inside and parts & HEADERS:
+        if name in ("class", "id") and value:
+            parts = set(value.split() if inside else PART.split(value))
+            if parts & REPLIES or tag not in ARTICLE and (parts & MARKED or not inside and parts & HEADERS):
                 return True
     return False
 
@@ -139,33 +140,40 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
     return lines, marked
 
 
+def weights_of(lines: list[Line], marked: bool) -> np.ndarray:
+    """Characters that each line adds to the distribution: on a page that marks its article those within it, else those outside links."""
+    return np.array([len(x.text) * x.inside if marked else max(len(x.text) - x.link, 0) for x in lines], np.int64)
+
+
+def spans_of(weights: np.ndarray, window: int, surge: int) -> list[tuple[int, int]]:
+    """Where the distribution surges and dives: (first, end) of the lines between.
+
+    Weights are summed over windows of ``window`` lines from each on. A span has a sum above ``surge``, or above half
+    the highest sum of the page if that is less; it begins where the sums rise from none and ends where they dive to
+    none, so the lines that lead up to a surge are part of it.
+    """
+    if not weights.any():
+        return []
+    sums = np.convolve(np.concatenate([weights, np.zeros(window - 1, np.int64)]), np.ones(window, np.int64), "valid")
+    level = min(surge, sums.max() / 2)
+    full = np.concatenate([[False], sums > 0, [False]])
+    edges = np.flatnonzero(full[1:] != full[:-1])
+    return [(a, z) for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if sums[a:z].max() > level]
+
+
 def extract(page: str | None, window: int = 3, surge: int = 86) -> str:
-    """The main text of a page: its lines, joined by line feeds.
+    """The main text of a page: its lines between the surges and dives of their distribution, joined by line feeds.
 
-    The text of lines is summed over windows of ``window`` lines. The main text begins where a window's sum surges
-    above ``surge`` characters and ends where the sum dives to none; it may begin again. Only text of the article
-    counts: without menus and the like, and without lines that are mostly links. On a page that marks its article
-    (article or main), lines outside count nothing, those within all count, and any text is a surge.
+    Stripping comes first: scripts, menus, forms and what names itself no article leave lines without text, and on a
+    page that marks its article (article or main) so does what stands outside, while within an article nothing
+    is left in their place. Then text is summed over sliding windows of lines, and lines between a surge and a dive are
+    kept whole, but for lines that are nothing but links where no article is marked.
     """
     lines, marked = lines_of(page or "")
     if marked:
-        weights = np.array([len(x.text) if x.inside else 0 for x in lines], np.int64)
-        surge = 0
-    else:
-        weights = np.array([len(x.text) if 2 * x.link <= len(x.text) else 0 for x in lines], np.int64)
-    if not weights.any():
-        return ""
-    padded = np.concatenate([weights, np.zeros(window - 1, np.int64)])
-    sums = np.convolve(padded, np.ones(window, np.int64), "valid")
-    kept, running = [], False
-    for x, weight, total in zip(lines, weights.tolist(), sums.tolist(), strict=True):
-        if not running:
-            running = weight > 0 and total > surge
-        elif total == 0:
-            running = False
-        if running and weight:
-            kept.append(x.text)
-    return "\n".join(kept)
+        lines = [x for x in lines if x.text or not x.inside]
+    weights = weights_of(lines, marked)
+    return "\n".join(lines[i].text for a, z in spans_of(weights, window, surge) for i in range(a, z) if weights[i])
 
 
 def main_texts(pages: DataFrame, window: int = 3, surge: int = 86) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import WORD
+from hydrolith.llm.common import WORD, stored
 
-#: Documents of a source that are ordered in one task, about; the number of parts of a source follows from it.
+#: Documents that are ordered in one task, about.
 PART = 2_000
 
 
@@ -16,7 +16,7 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """A tenth, and the share of letters and spaces in the text: prose weighs more than symbols."""
+    """A tenth, and the share of letters and spaces in the text: prose weighs more than symbols, without a model to fit."""
     plain = F.length(F.regexp_replace(text, r"[^\p{L} \n]", ""))
     return F.coalesce(F.lit(0.1) + plain / F.when(F.length(text) > 0, F.length(text)), F.lit(0.1))
 
@@ -60,8 +60,9 @@ def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), se
     doc_id and text: a document is taken whole if at least half of it lies within the rest. So a source misses its
     target by half a document at most, no document is taken more than ``most`` times, and reruns agree.
 
-    Each source is cut into parts by its keys, so that the sums before a part come from totals of parts and only
-    documents of one part are ordered in one task, whatever the size of a source.
+    Sizes and keys are computed once and kept. Documents are cut into parts of about PART by ranges of source and
+    key, wherever the keys lie, so sums before a part come from totals of parts, and only documents of one part are
+    ordered in one task, whatever the size of a source.
 
     Null and empty texts have size 0 and nothing taken of them. Null sources are one source, the last. Rows without
     or with repeated doc_ids are documents of their own; equal rows have equal keys and are ordered arbitrarily,
@@ -70,19 +71,22 @@ def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), se
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     u = uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        word_count(text).alias("size"),
-        (-F.log(u) / F.greatest(weight if weight is not None else quality_weight(text), F.lit(1e-6))).alias("key"),
+    rows = stored(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("source").cast("string").alias("source"),
+            word_count(text).alias("size"),
+            (-F.log(u) / F.greatest(weight if weight is not None else quality_weight(text), F.lit(1e-6))).alias("key"),
+        )
     )
+    n = max(1, -(-rows.count() // PART))
+    rows = stored(rows.repartitionByRange(n, F.col("source").isNull(), "source", "key", "doc_id", "size").withColumn("part", F.spark_partition_id()))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = source_targets(sizes, most, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumnRenamed("source", "__source")
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    placed = placed.withColumn("part", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.ceil(F.col("n") / PART)).cast("long"))
     parts = placed.groupBy("source", "part").agg(F.sum("size").alias("total"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("__source"), F.col("part").alias("__part"), F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import html
@@ -18,18 +17,24 @@ from pyspark.sql import functions as F
 #: The kinds of secrets in their order and their patterns, whose letters are ASCII.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
-    "(" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
-    + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]{2,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-READABLE = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]*")
-#: Bytes of one decompressed layer. A layer that would be longer isn't unpacked: this bounds a task's memory.
-UNPACKED = 1 << 26
+#: A run of base64, perhaps wrapped into lines.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]+)?={0,2}")
+WRAP = re.compile(r"[\r\n\t\x20]+")
+#: No secret is shorter, and only unpacking makes a text longer, so a shorter piece of text can't hold one.
+SHORTEST = 14
+READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){%d,}" % SHORTEST)
+WIDE = {"utf-16-le": re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){%d,}" % SHORTEST), "utf-16-be": re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){%d,}" % SHORTEST)}
+#: How compressed data begins: gzip, and zlib at its usual levels.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Bytes of an unpacked layer that are looked at together, and those that the next piece repeats.
+PIECE, OVERLAP = 1 << 24, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -110,25 +115,51 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join([*pieces, layer.text[at:]]), np.concatenate([*starts, first[at:]]), np.concatenate([*ends, last[at:]]))
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    for bits, magic in ((31, b"\x1f\x8b"), (15, b"\x78")):
-        if raw.startswith(magic):
-            try:
-                packer = zlib.decompressobj(bits)
-                out = packer.decompress(raw, UNPACKED)
-                return out if packer.eof else None
-            except zlib.error:
-                return None
-    return None
-
-
-def _text_of(raw: bytes) -> str | None:
-    if not READABLE.fullmatch(raw):
-        return None
-    try:
-        return raw.decode()
-    except UnicodeDecodeError:
-        return None
+def _unpacked(raw: bytes, at: int) -> Iterator[bytes]:
+    """What is packed in raw from ``at`` on, members of it one after the other, in pieces that overlap; none if it isn't."""
+    left, held = memoryview(raw)[at:].tobytes(), b""
+    while left:
+        packer = zlib.decompressobj(31 if left[:1] == b"\x1f" else 15)
+        try:
+            while not packer.eof:
+                out = packer.decompress(left, PIECE)
+                left = packer.unconsumed_tail
+                held += out
+                if len(held) >= PIECE:
+                    yield held
+                    held = held[-OVERLAP:]
+                if not out and not left:
+                    break
+        except zlib.error:
+            break
+        left = packer.unused_data if packer.eof and PACKED.match(packer.unused_data) else b""
+    if held:
+        yield held
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Readable pieces of raw, with the first and the last byte of each character."""
+    for m in READABLE.finditer(raw):
+        text = m[0].decode("utf-8", "replace")
+        sizes = np.ones(len(text), np.int64) if text.isascii() else np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
+        last = m.start() + np.cumsum(sizes) - 1
+        yield text, last - sizes + 1, last
+    if b"\x00" in raw:
+        for name, pattern in WIDE.items():
+            for m in pattern.finditer(raw):
+                first = m.start() + 2 * np.arange(len(m[0]) // 2)
+                yield m[0].decode(name), first, first + 1
+
+
+def _inside(raw: bytes, depth: int = 0) -> Iterator[str]:
+    """Readable texts in what is packed anywhere in raw, packed again or not."""
+    for m in PACKED.finditer(raw):
+        for piece in _unpacked(raw, m.start()):
+            if piece == raw:
+                continue  # it unpacks to itself
+            yield from (text for text, *_ in _texts(piece))
+            if depth < 64:
+                yield from _inside(piece, depth + 1)
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
@@ -138,53 +169,61 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
     if ("\\" in text or "&" in text) and (new := _rewritten(layer, ESCAPE, _unescape)):
         yield new
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.span(m.start(), m.end())
-        packed, layers = False, {hashlib.blake2b(raw).digest()}
-        while (inner := _unpacked(raw)) is not None and (mark := hashlib.blake2b(inner).digest()) not in layers:
-            layers.add(mark)  # a packed layer may hold another; those that unpack to themselves end here
-            raw, packed = inner, True
-        plain = _text_of(raw)
-        if not plain:
-            continue
-        if packed:
-            yield Layer(plain, np.full(len(plain), whole[0]), np.full(len(plain), whole[1]))
-            continue
-        sizes = np.fromiter((len(c.encode()) for c in plain), np.int64, len(plain)) if not plain.isascii() else np.ones(len(plain), np.int64)
-        stop = np.cumsum(sizes)
-        first, last = layer.edges()
-        # byte i comes from characters 4i/3 to 4i/3 + 1 of the run
-        yield Layer(plain, first[m.start() + (stop - sizes) * 4 // 3], last[m.start() + np.minimum((stop - 1) * 4 // 3 + 1, m.end() - m.start() - 1)])
+        run, place = m[0].rstrip("="), np.arange(m.start(), m.end())
+        if "\n" in run:
+            gaps = np.zeros(len(run), bool)
+            for gap in WRAP.finditer(run):
+                gaps[gap.start() : gap.end()] = True
+            run, place = WRAP.sub("", run), place[: len(run)][~gaps]
+        run = run.replace("-", "+").replace("_", "/")
+        for phase in range(4):  # what stands before, a path perhaps, may shift the groups of four
+            part = run[phase:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            if len(part) < 16:
+                continue
+            raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            for plain, first, last in _texts(raw):
+                # byte i comes from characters 4i/3 and the next of the run
+                start, end = place[phase + first * 4 // 3], place[np.minimum(phase + last * 4 // 3 + 1, len(place) - 1)]
+                if layer.start is None:
+                    yield Layer(plain, start, end + 1)
+                else:
+                    yield Layer(plain, layer.start[start], layer.end[end])
+            whole = None
+            for plain in _inside(raw):
+                whole = whole or layer.span(m.start(), m.end())
+                yield Layer(plain, np.full(len(plain), whole[0]), np.full(len(plain), whole[1]))
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans (start, kind, end) of a text's plain secrets, and of all with those under encodings, by start and kind.
 
     Layers wait in a worklist; each is searched and decoded (percent signs; Unicode and character references;
-    base64, unpacked if it is compressed), and what comes out waits in turn, until nothing new comes. A layer that
-    was seen for the same part of the document isn't taken up again, so layers that lead back to themselves end.
+    base64 in each phase, wrapped or not, and what is packed in it, all members), and what comes out waits in turn,
+    until nothing new comes. A layer that was seen for the same part of the document isn't taken up again, so layers
+    that lead back to themselves end. Decoding is lazy and goes deep first, and unpacked layers come in pieces of
+    PIECE bytes that overlap by OVERLAP, so a piece a level is held, however much there is to unpack. An encoding
+    within an unpacked layer that is longer than the overlap may be read in two parts.
     """
     text = text or ""
     base = base_spans(text)
     every = set(base)
-    work, seen = [Layer(text)], set()
+    work, seen = [_decoded(Layer(text))], set()
     while work:
-        for new in _decoded(work.pop()):
-            if not new.text:
-                continue
-            mark = hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), int(new.start[0]), int(new.end.max())
-            if mark in seen:
-                continue
-            seen.add(mark)
-            for a, kind, z in base_spans(new.text):
-                start, end = new.span(a, z)
-                every.add((start, kind, end))
-            work.append(new)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        if not new.text:
+            continue
+        mark = hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), int(new.start[0]), int(new.end.max())
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for a, kind, z in base_spans(new.text):
+            start, end = new.span(a, z)
+            every.add((start, kind, end))
+        work.append(_decoded(new))
     return base, sorted(every)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import gzip
 import random
+import re
 import urllib.parse
 import zlib
 
@@ -32,6 +33,21 @@ def test_top_k_is_exact_with_ties_and_odd_vectors(spark, monkeypatch):
     assert topk.top_k(v.where("vec_id = 0"), v.where("vec_id < 3"), 5).count() == 2
 
 
+@pytest.mark.parametrize("size", [1e5, 1e6, 1e12, 1e300])
+def test_large_components_are_summed_exactly(spark, size):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.uniform(-size, size, 8)]) for i in range(120)] + [(60, [size] * 3), (61, [size])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    asked = v.where("vec_id % 20 = 0 and vec_id <> 60")
+    whole = [(r["vec_id"], list(r["v"]) + [0] * (8 - len(r["v"]))) for r in v.collect()]
+    want = []
+    for q, x in whole:
+        if q % 20 == 0 and q != 60:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole if i != q)[:4]
+            want += [(q, k, i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk.top_k(asked, v, 4).collect())) == sorted(want)
+
+
 def test_bounds_spare_most_candidates():
     rng = np.random.default_rng(1)
     centres = rng.integers(-200, 200, (20, 16)).astype(float)
@@ -57,6 +73,14 @@ SECRET = "password = hunter2hunter2"
         lambda s: "".join(f"%{b:02X}" for b in s.encode()),
         lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
         lambda s: "".join(f"&#{ord(c)};" for c in s),
+        lambda s: base64.encodebytes(gzip.compress((s + " x" * 90).encode())).decode().strip(),
+        lambda s: base64.encodebytes((" y" * 60 + s + " x" * 90).encode()).decode().strip(),
+        lambda s: "x/" + base64.b64encode(s.encode()).decode(),
+        lambda s: "path/to/some/file/" + base64.b64encode(s.encode()).decode(),
+        lambda s: base64.b64encode(s.encode("utf-16")).decode(),
+        lambda s: base64.b64encode(gzip.compress(b"first") + gzip.compress(s.encode())).decode(),
+        lambda s: base64.b64encode(b"\x01\x02" + s.encode() + b"\xff\x00").decode(),
+        lambda s: base64.b64encode(b"\x00head" + zlib.compress(s.encode("utf-16-be"))).decode(),
         lambda s: urllib.parse.quote(base64.b64encode("".join(f"\\x{ord(c):02x}" for c in s).encode()).decode(), safe=""),
     ],
 )
@@ -70,6 +94,25 @@ def test_wrapped_secrets_map_to_where_they_stand(wrap):
         assert 9 <= start < end <= 9 + len(wrapped)
 
 
+def test_base_spans_are_those_of_the_contract():
+    rng = random.Random(2)
+    patterns = [r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "(AKIA[A-Z0-9]+)", "([0-9a-f]+)"]
+    for _ in range(300):
+        text = "".join(rng.choice(["password", "ToKen", "api_key", "APIKEY", "secret", '"', "'", " ", "=", ":", "\n", "AKIA", "B" * 9, "0f" * 9, "é", "\u017f", "abcdefg", "h"]) for _ in range(25))
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, text, re.A) if len(m[1]) >= (8, 16, 32)[k])
+        assert secret_scan.base_spans(text) == want
+
+
+def test_long_unpacked_layers_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 4096)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 256)
+    rng = random.Random(1)
+    noise = " ".join(str(rng.random()) for _ in range(3000))
+    for at in (0, 4090, 20_000, len(noise)):
+        packed = base64.b64encode(gzip.compress((noise[:at] + " " + SECRET + " " + noise[at:]).encode())).decode()
+        assert [x for x in secret_scan.scan(f"a {packed} b")[1] if x[1] == 0] == [(2, 0, 2 + len(packed))]
+
+
 def test_plain_secrets():
     key = "AKIA" + "B" * 12
     text = f"""Token: "abcdefgh" token=short {"0f" * 16} {key} API_KEY='{"x" * 8}' {"a" * 31} AKIASHORT"""
@@ -105,7 +148,44 @@ def test_pages_that_mark_no_article():
     body = "".join(f"<p>{'Some words of an article stand here. ' * 4}</p>" for _ in range(4))
     page = f"<body><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><div>{body}</div><div class=footer><p>End</p></div></body>"
     assert html_extract.extract(page).count("\n") == 3
-    assert html_extract.extract("<p>tiny</p>") == ""
+    assert html_extract.extract("<p>tiny</p>") == "tiny"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><h1>Head</h1><p>One short paragraph.</p></body>", "Head\nOne short paragraph."),
+        ('<article><p>First.</p><section class="related-work"><p>Others did.</p></section><div id="notice-period"><p>Three months.</p></div></article>', "First.\nOthers did.\nThree months."),
+        ("<body><p>See <a href=x>the long documentation of this library</a>.</p></body>", "See the long documentation of this library."),
+        ('<main><p>Text.</p></main><article class="comment"><p>I liked it.</p></article>', "Text."),
+        ("<article><p>One.</p><aside>a</aside><aside>b</aside><aside>c</aside><aside>d</aside><p>Two.</p></article>", "One.\nTwo."),
+    ],
+)
+def test_short_pages_and_names_within_articles(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_spans_lie_between_surges_and_dives_as_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        weights = np.array([rng.choice([0, 0, 0, 5, 40, 200]) for _ in range(rng.randint(1, 30))])
+        sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
+        level, want, i = min(86, max(sums) / 2), set(), 0
+        while i < len(sums):
+            j = i
+            while j < len(sums) and sums[j] > 0:
+                j += 1
+            if any(s > level for s in sums[i:j]):
+                want |= set(range(i, j))
+            i = j + 1
+        assert {i for a, z in html_extract.spans_of(weights, 3, 86) for i in range(a, z)} == want
+
+
+def test_distribution_decides_on_pages_without_marks():
+    rows = "".join(f"<tr><td><a href=/{i}>Page {i}</a></td></tr>" for i in range(9))
+    page = f"<body><table>{rows}<tr><td>by us</td></tr>{rows}</table><div>{'<p>Some words of an article stand here.</p>' * 9}</div><table>{rows}</table><p>End</p></body>"
+    assert html_extract.extract(page).split("\n") == ["Some words of an article stand here."] * 9
+    assert "by us" in html_extract.extract(page, surge=0)
 
 
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<!--", "<script>", "<nav>x", '<a href="', "</p></p>", "<article>", "a" * 100_000 + "<b", "<div>" * 3000])
