@@ -29,8 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b), both long; component is the least node reachable.
 
     Alternates the large-star and small-star steps until nothing changes. Each round is a fixed number of shuffles
-    on long pairs, whose minima are combined before they move, so that a node with very many neighbours costs no
-    task more than others. Each round is checkpointed. Loops, repeats and an empty graph are allowed.
+    on long pairs, whose minima are combined before they move; a node with very many neighbours meets them in a join
+    of two shuffled sides, which the adaptive plan splits where it is skewed. Each round is checkpointed. Loops, repeats and an empty graph are allowed.
     """
     at = checkpoint(edges.where("a <> b").select("a", "b").distinct())
     before = _state(at)

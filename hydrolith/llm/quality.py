@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import checkpoint
+from hydrolith.llm.common import checkpoint, stored
 
 LOWER, UPPER, DIGITS = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 WHITE, STOPS = b" \t\n\r\x0b\x0c", b".,;:?'\"()-"
@@ -77,17 +77,23 @@ class Model:
         raw = self.raw(x)
         return 0.999 * np.interp(raw, *self.knots) + 0.001 * np.clip((raw + 1) / 3, 0, 1)
 
-    def column(self, text: Column) -> Column:
-        """The score of a text."""
+    def column(self, x: Column) -> Column:
+        """The score of statistics."""
         model = self
 
         @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            if not len(texts):
-                return pd.Series([], dtype=float)
-            return pd.Series(model.score(np.array([statistics(t) for t in texts])))
+        def score(rows: pd.Series) -> pd.Series:
+            return pd.Series(model.score(np.stack(rows.to_list()))) if len(rows) else pd.Series([], dtype=float)
 
-        return score(text)
+        return score(x)
+
+
+def statistics_column(text: Column) -> Column:
+    @F.pandas_udf("array<double>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts], dtype=object)
+
+    return found(text)
 
 
 def isotonic(x: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +187,7 @@ def scores(docs: DataFrame, labels: DataFrame, size: int = 256, ridge: float = 1
     without a doc_id are scored and not held out. Other columns are not looked at. An empty table gives an empty
     result.
     """
-    stats = checkpoint(document_statistics(docs))
+    stats = stored(document_statistics(docs))
     model = fit(stats, labels, size, ridge, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +200,7 @@ def scores(docs: DataFrame, labels: DataFrame, size: int = 256, ridge: float = 1
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, size: int = 256, ridge: float = 1e-2, seed: int = 11) -> DataFrame:
-    """docs without those that the classifier rejects, columns as they are."""
-    model = fit(document_statistics(docs), labels, size, ridge, seed)
-    return docs.where(model.column(F.col("text").cast("string")) >= 0.5)
+    """docs without those that the classifier rejects, columns as they are. Statistics are computed once and kept with the rows."""
+    rows = stored(docs.withColumn("__x", statistics_column(F.col("text").cast("string"))))
+    model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__x").alias("x")), labels, size, ridge, seed)
+    return rows.where(model.column(F.col("__x")) >= 0.5).drop("__x")

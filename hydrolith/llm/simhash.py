@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import checkpoint
+from hydrolith.llm.common import salted_join, stored
 from hydrolith.llm.graph import connected_components
 from hydrolith.llm.kernels import split_words
 
@@ -41,14 +41,15 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. One row for each row of docs."""
+    """(doc_id, th, fp): th is a hash of the text, fp holds the 64 bits as a signed long. One row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), size, seed) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string"))
+    return own.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _remainders() -> np.ndarray:
@@ -229,6 +230,17 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, size: int, most: int, seed: int) -> DataFrame:
+    """(doc_id, th, fp, component_id, kept): kept is the doc_id and th of the document that stands for the component."""
+    fps = stored(fingerprints(docs, size, seed))
+    nodes = stored(fps.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("first"), F.count("*").alias("n")))
+    parts = connected_components(links(nodes.select("fp"), most)).withColumnRenamed("node", "fp")
+    known = stored(nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = stored(known.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("fps")))
+    by_fp = stored(salted_join(known.select("fp", "component", "n"), least, ["component"], "fps").select("fp", "kept", "n"))
+    return salted_join(fps, by_fp, ["fp"], "n").select("doc_id", "th", "fp", F.col("kept.doc_id").alias("component_id"), "kept")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, most: int = 3, seed: int = 42) -> DataFrame:
     """SimHash near-duplicates of documents (doc_id, text): doc_id, fp (long), component_id.
 
@@ -236,23 +248,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 3, seed: int = 4
     the least doc_id that links reach. Null and empty texts and those of white space have fingerprint 0 and are
     linked like others. Repeated rows and ids are kept, and a null doc_id reaches others but names no component
     (its component_id is null if all of it are). Other columns of docs, whatever their names, are not looked at.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Rows of one fingerprint, and fingerprints of one component, are spread over
+    salts where they meet their component.
     """
-    fps = checkpoint(fingerprints(docs, size, seed))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(links(nodes.select("fp"), most)).withColumnRenamed("node", "fp")
-    known = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = known.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, size, most, seed).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, size: int = 3, most: int = 3, seed: int = 42) -> DataFrame:
     """docs with one document of each group of near-duplicates: that of least doc_id, one row if it is repeated.
 
-    Rows without a doc_id stay, for they can't be told apart by it.
+    Documents of one doc_id and different texts are different documents: of such in one group the one of the least
+    hash of the text stays. Rows without a doc_id stay, for they can't be told apart by it.
     """
-    groups = near_duplicates(docs, size, most, seed)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    named = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    mine = (F.col("doc_id") == F.col("kept.doc_id")) & F.col("th").eqNullSafe(F.col("kept.th"))
+    stay = _grouped(docs, size, most, seed).where(mine).select(F.col("doc_id").alias("__stay"), F.col("th").alias("__th")).distinct()
+    text = F.xxhash64(F.col("text").cast("string"))
+    named = docs.withColumn("__own", text).join(stay, (F.col("doc_id").cast("long") == F.col("__stay")) & (F.col("__own") == F.col("__th")), "left_semi")
+    return named.dropDuplicates(["doc_id", "__own"]).drop("__own").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from hydrolith.llm import line_dedup, mixing, queries
+from hydrolith.llm import common, line_dedup, mixing, queries
 
 DOCS = "doc_id long, text string, source string, n_lines string, size int"
 
@@ -35,6 +35,27 @@ def test_repeated_runs_go_as_by_brute_force(spark, run, gram):
     assert {r["doc_id"]: r["text"] for r in found.collect()} == brute_lines(docs, run)
 
 
+def test_heavy_lines_and_long_texts_are_spread_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST", 3)
+    monkeypatch.setattr(common, "PIECES", 20)
+    rng = random.Random(9)
+    docs = [(i, f"u{i}\nlicence\n{rng.choice('ab')}\n{rng.choice('ab')}\nv{i}") for i in range(150)]
+    docs += [(200, "\n".join(f"x{k}" for k in range(100_000))), (201, "\n".join(f"x{k}" for k in range(50_000, 100_000)) + "\nend")]
+    found = line_dedup.deduplicate_lines(spark.createDataFrame([(i, t, "s", "x", 1) for i, t in docs], DOCS))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == brute_lines(docs, 2)
+
+
+def test_parts_are_even_whatever_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 200)
+    rows = [(i, f"{i} % {i}", "a", "x", 1) for i in range(4000)] + [(i, "plain words", "b", "x", 1) for i in range(4000, 6000)]
+    frame = spark.createDataFrame(rows, DOCS)
+    kept = []
+    monkeypatch.setattr(mixing, "stored", lambda df: kept.append(df.cache()) or kept[-1])
+    assert mixing.mix(frame).count() == 6000
+    sizes = sorted(r["count"] for r in kept[1].groupBy("part").count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = [(1, "x\ny", "s", "k", 1), (1, "x\ny", "s", "k", 1), (None, "x\ny\nz", None, None, None), (2, None, "s", "k", 1), (3, "", "s", "k", 1), (4, "x\ny", "s", "k", 1)]
     frame = spark.createDataFrame(rows, DOCS)

@@ -65,3 +65,21 @@ def test_pipeline_as_by_brute_force(spark, tmp_path):
     for stage in corpus_pipeline.STAGES[:-1]:
         assert stage[1](spark, frame, str(tmp_path)).columns == frame.columns
     assert simhash.fingerprint("x") == brute_fingerprint("x")
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, th int, size double"
+    text = "one river runs by the stone field and then on to the water"
+    rows = [(1, text, "en", "a", 1, "x", 1, 0.5), (1, text, "en", "a", 1, "x", 1, 0.5), (1, "another text of the same number stands here", None, None, None, None, None, None)]
+    rows += [(None, text, "en", "a", 1, "x", 1, 0.5), (2, None, "en", "a", 1, "x", 1, 0.5), (3, "", None, "b", 0, "x", 1, 0.5), (4, "w " * 40_000, "en", "b", 1, "x", 1, 0.5)]
+    frame = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words are in any of them"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        kept = stage(spark, frame, str(tmp_path))
+        assert kept.columns == frame.columns
+        ids = {(r["doc_id"], r["text"]) for r in kept.collect()}
+        assert {i for i, _ in ids} >= {None, 1, 4} and (name != "simhash_near_dedup" or (1, rows[2][1]) in ids)
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[0][1](spark, frame, str(tmp_path)).columns == frame.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() == len(rows)

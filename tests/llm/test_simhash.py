@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from hydrolith.llm import simhash
+from hydrolith.llm import common, simhash
 from hydrolith.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
@@ -115,3 +115,13 @@ def test_one_document_of_a_group_stays(spark):
     found = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r["doc_id"] for r in found.collect()), key=str) == [2, 4, None]
     assert found.columns == ["doc_id", "text", "fp", "component_id"]
+
+
+def test_unlike_texts_of_one_id_are_documents_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST", 1)
+    monkeypatch.setattr(common, "PIECES", 3)
+    rows = [(5, "a text that stands here once", "k", 1), (5, "quite another thing to read", "k", 1), (7, "a text that stands here once", "k", 1), (8, None, "k", 1), (8, "", "k", 1)]
+    rows += [(20 + i, "the same words again and again", "k", 1) for i in range(30)]
+    found = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in found) == [(5, rows[0][1]), (5, rows[1][1]), (8, ""), (20, rows[5][1])]
+    assert simhash.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
