@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import ensure_checkpoint_dir, read
+from hydrolith.llm.common import ensure_checkpoint_dir, read, remove
 from hydrolith.llm.decontaminate import decontaminate
 from hydrolith.llm.line_dedup import deduplicate_lines
 from hydrolith.llm.mixing import mix
@@ -60,13 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each is written as Parquet to the checkpoint folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext.getCheckpointDir()
-    token = spark.sql("select uuid()").first()[0]
-    docs = read(spark, sf_dir, "documents")
+    """Applies the stages to documents; each is written as Parquet to the checkpoint folder and read again.
+
+    What a stage returned is removed once the next one is written; the last table stays for its reader.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{token}/{k}-{name}"
+        path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
