@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,31 @@ def acronym(s: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")).otherwise("")
 
 
+#: Names of columns that are no data type, names of the water level, and formulas with the codes they stand for.
+RESERVED = (
+    "well_id wellid site site_id siteid well_name wellname name date datetime timestamp time lat latitude lat_dec long lng longitude long_dec lon "
+    "aquifer_id aquifer aquifer_name gse ground_surface_elevation surface_elevation"
+).split() + ["well id", "well name"]
+WATER_LEVEL = "value wte water_table_elevation water_level elevation level measurement reading head".split() + ["water table elevation", "water level", "water head"]
+CHEMICAL = {
+    "no3": "nitrate", "no2": "nitrite", "nh3": "ammonia", "nh4": "ammonia", "po4": "phosphorus", "so4": "sulfate", "hco3": "bicarbonate", "co3": "carbonate",
+    "ca": "calcium", "mg": "magnesium", "na": "sodium", "k": "potassium", "fe": "iron", "mn": "manganese", "cl": "chloride", "as": "arsenic", "pb": "lead",
+    "cu": "copper", "zn": "zinc", "cr": "chromium", "se": "selenium", "b": "boron", "si": "silica", "f": "fluoride", "ecoli": "e_coli", "e coli": "e_coli",
+}
+
+
+def column_kind(header: Column) -> Column:
+    """reserved, water_level or other: what a column of a file holds by its name [P06]."""
+    key = F.lower(F.trim(header))
+    return F.when(key.isin(RESERVED), "reserved").when(key.isin(WATER_LEVEL), "water_level").otherwise("other")
+
+
+def chemical_code(header: Column) -> Column:
+    """The code that a formula stands for, null for other names [P06]."""
+    known = F.create_map(*(F.lit(x) for pair in CHEMICAL.items() for x in pair))
+    return F.element_at(known, normalize_name(header_name(header)))
+
+
 def number_prefix(s: Column) -> Column:
     """The number that a text begins with, null without one [F23]."""
     return F.nullif(F.regexp_extract(F.trim(s), r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0), F.lit("")).try_cast("double")
@@ -144,6 +171,61 @@ def web_mercator(lat: Column, lng: Column) -> tuple[Column, Column]:
     return radius * F.radians(lng), radius * F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2))
 
 
+#: The WGS84 ellipsoid.
+WGS84_A, WGS84_F = 6_378_137.0, 1 / 298.257223563
+
+
+def web_mercator_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lng) of spherical Mercator metres [G05]."""
+    return F.degrees(2 * F.atan(F.exp(y / WGS84_A)) - F.lit(math.pi / 2)), F.degrees(x / WGS84_A)
+
+
+def utm_degrees(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """(lat, lng) of UTM metres on WGS84, by the series of fourth order in the third flattening [G05]."""
+    n = WGS84_F / (2 - WGS84_F)
+    scale = 0.9996 * WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    north, east = (y - (10_000_000.0 if south else 0.0)) / scale, (x - 500_000.0) / scale
+    xi, eta = north, east
+    for j, b in enumerate(beta, 1):
+        xi, eta = xi - b * F.sin(2 * j * north) * F.cosh(2 * j * east), eta - b * F.cos(2 * j * north) * F.sinh(2 * j * east)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.degrees(lat), F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (6.0 * zone - 183.0)
+
+
+def lambert_degrees(x: Column, y: Column, lat0: float, lng0: float, x0: float, y0: float, k0: float = 1.0) -> tuple[Column, Column]:
+    """(lat, lng) of metres of a Lambert conformal conic with one parallel on WGS84 [G05]."""
+    e2 = WGS84_F * (2 - WGS84_F)
+    e, n, phi = math.sqrt(e2), math.sin(math.radians(lat0)), math.radians(lat0)
+    m = math.cos(phi) / math.sqrt(1 - e2 * n * n)
+    t0 = math.tan(math.pi / 4 - phi / 2) / ((1 - e * n) / (1 + e * n)) ** (e / 2)
+    size = WGS84_A * k0 * m / (n * t0**n)
+    east, north = x - x0, size * t0**n - (y - y0)
+    chi = F.lit(math.pi / 2) - 2 * F.atan(F.pow(F.sqrt(east * east + north * north) / size, F.lit(1 / n)))
+    terms = (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120, 4279 * e2**4 / 161280)
+    lat = chi
+    for j, c in enumerate(terms, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.degrees(lat), F.degrees(F.atan2(east, north) / n) + lng0
+
+
+def to_degrees(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    """(lat, lng) of a point in a known system: WGS84, Web Mercator, its UTM zones or the Jamaica Metric Grid [G05, S18]."""
+    if epsg == 4326:
+        return y, x
+    if epsg == 3857:
+        return web_mercator_degrees(x, y)
+    if epsg == 3448:  # fixed values of JAD2001
+        return lambert_degrees(x, y, 18.0, -77.0, 750_000.0, 650_000.0)
+    if 1 <= epsg % 100 <= 60 and epsg // 100 in (326, 327):
+        return utm_degrees(x, y, epsg % 100, epsg // 100 == 327)
+    raise ValueError(f"EPSG:{epsg} isn't known")
+
+
 def utm_epsg(lat: Column, lng: Column) -> Column:
     """EPSG code of the UTM zone at a point [G06]."""
     zone = F.floor((lng + 180) / 6).cast("int") + 1

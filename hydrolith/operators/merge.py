@@ -47,16 +47,28 @@ def identity_key(df: DataFrame) -> DataFrame:
 def nearest_within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     """The nearest site within radius metres of each point: (id, lat, lng) to (site_id, site_lat, site_lng, site_pos) [J11].
 
-    Both sides fall into cells of the radius in degrees of latitude; a point looks into the cells around its own, so
-    the join is by equality. Cells are one degree of longitude and more wide near the poles.
+    Both sides fall into cells: bands of latitude as high as the radius, cut into cells of longitude that are wider
+    than it at the band and its neighbours, fewer towards the poles. A point looks into the cells around its own, and
+    those at both ends of a band are neighbours, so the join is by equality everywhere on the globe.
     """
     step = max(radius / 111_000.0, 1e-6)
-    wide = F.lit(step) / F.greatest(F.cos(F.radians(F.floor(F.col("lat") / step) * step)), F.lit(0.01))
-    band = F.explode(F.sequence(F.floor(F.col("lat") / step).cast("long") - 1, F.floor(F.col("lat") / step).cast("long") + 1))
-    seen = points.where(S.valid_point(F.col("lat"), F.col("lng"))).withColumn("__band", band).withColumn("__wide", 2 * wide)
-    placed = sites.withColumn("__band", F.floor(F.col("site_lat") / step).cast("long"))
+
+    def cells(band):
+        far = (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * step
+        return F.greatest(F.floor(360.0 * F.cos(F.radians(F.least(far, F.lit(90.0)))) / (1.02 * step)), F.lit(1)).cast("long")
+
+    def cell(lng, n):
+        return F.least(F.floor((lng + 180.0) / 360.0 * n), n - 1).cast("long")
+
+    own = F.floor(F.col("lat") / step).cast("long")
+    seen = points.where(S.valid_point(F.col("lat"), F.col("lng"))).withColumn("__band", F.explode(F.sequence(own - 1, own + 1)))
+    seen = seen.withColumn("__n", cells(F.col("__band"))).withColumn("__at", cell(F.col("lng"), F.col("__n")))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(F.col("__at") + i, F.col("__n"))))
+    seen = seen.withColumn("__cell", F.explode(around)).drop("__n", "__at")
+    placed = sites.where(S.valid_point(F.col("site_lat"), F.col("site_lng"))).withColumn("__band", F.floor(F.col("site_lat") / step).cast("long"))
+    placed = placed.withColumn("__cell", cell(F.col("site_lng"), cells(F.col("__band"))))
     d = S.haversine(F.col("lat"), F.col("lng"), F.col("site_lat"), F.col("site_lng"))
-    near = seen.join(placed, "__band").where(F.abs(F.col("lng") - F.col("site_lng")) <= F.col("__wide")).withColumn("distance", d).where(F.col("distance") <= radius)
+    near = seen.join(placed, ["__band", "__cell"]).withColumn("distance", d).where(F.col("distance") <= radius)
     return first_by(near, ["id"], ["distance", "site_pos"]).select("id", "site_id", "distance")
 
 
@@ -77,14 +89,15 @@ def match_wells(points: DataFrame, wells: DataFrame, radius: float = 100.0) -> D
 
 
 def fuzzy_parameters(headers: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(header, code, tier) of headers against parameters (code, name, pos): equal, within two edits, or contained [J14].
+    """(header, code, tier) of headers against parameters (code, name, pos): equal or its formula, within two edits, or contained [J14].
 
     Both tables have a row a column or parameter; edits count for names of four letters and more, containment from three on.
     """
     h = headers.withColumn("key", S.normalize_name(S.header_name(F.col("header"))))
     p = parameters.withColumn("name_key", S.normalize_name(F.col("name")))
     edits = F.levenshtein("key", "name_key")
-    tier = F.when(F.col("key") == F.col("name_key"), 1)
+    formula = F.coalesce(S.chemical_code(F.col("header")) == F.col("code").cast("string"), F.lit(False))
+    tier = F.when((F.col("key") == F.col("name_key")) | formula, 1)
     tier = tier.when((F.length("key") >= 4) & (F.length("name_key") >= 4) & (edits <= 2), 2)
     tier = tier.when((F.length("key") >= 3) & (F.length("name_key") >= 3) & (F.contains("key", "name_key") | F.contains("name_key", "key")), 3)
     ranked = h.crossJoin(p).withColumn("tier", tier).withColumn("edits", F.when(F.col("tier") == 2, edits).otherwise(0)).where("tier is not null")

@@ -43,8 +43,8 @@ def centroid(polygons: DataFrame, key: str) -> DataFrame:
     return e.groupBy(key).agg(F.avg("x0").alias("lng"), F.avg("y0").alias("lat"), F.abs(F.sum(cross) / 2).alias("area"))
 
 
-def assign_polygon(points: DataFrame, polygons: DataFrame, key: str, cell: float = 0.5) -> DataFrame:
-    """The first polygon by pos that holds each point (id, lat, lng), null if none does [J08].
+def holding_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: float = 0.5) -> DataFrame:
+    """(id, key, pos) of all polygons that hold each point (id, lat, lng) [J07].
 
     Polygons are listed in the cells of their extent, points in their own, and meet by equality before the exact test.
     """
@@ -53,7 +53,12 @@ def assign_polygon(points: DataFrame, polygons: DataFrame, key: str, cell: float
     cy = F.sequence(F.floor(F.col("min_lat") / cell), F.floor(F.col("max_lat") / cell))
     tiles = b.withColumn("cx", F.explode(cx)).withColumn("cy", F.explode(cy))
     placed = points.select("id", "lat", "lng", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    hit = placed.join(tiles, ["cx", "cy"]).where(inside(F.col("lng"), F.col("lat"), F.col("ring")))
+    return placed.join(tiles, ["cx", "cy"]).where(inside(F.col("lng"), F.col("lat"), F.col("ring"))).select("id", key, "pos")
+
+
+def assign_polygon(points: DataFrame, polygons: DataFrame, key: str, cell: float = 0.5) -> DataFrame:
+    """The first polygon by pos that holds each point (id, lat, lng), null if none does [J08]."""
+    hit = holding_polygons(points, polygons, key, cell)
     first = hit.groupBy("id").agg(F.min_by(key, "pos").alias(key))
     return points.join(first, "id", "left")
 

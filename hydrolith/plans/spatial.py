@@ -15,9 +15,8 @@ INSIDE = f"ins AS (SELECT w.well_id, e.aquifer_id, count(*) FILTER (WHERE {HIT})
 
 @query("J07_inside", sql(f"{INSIDE} SELECT well_id, aquifer_id FROM ins WHERE inside", "well", "edge"))
 def _(t):
-    b = spatial.bounds(t.aquifers.drop("region_id", "pos"))
-    both = t.wells.select("well_id", "lat", "lng").join(b, F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng")))
-    return both.where(spatial.inside(F.col("lng"), F.col("lat"), F.col("ring"))).select("well_id", "aquifer_id")
+    points = t.wells.select(F.col("well_id").alias("id"), "lat", "lng")
+    return spatial.holding_polygons(points, t.aquifers.drop("region_id"), "aquifer_id").select(F.col("id").alias("well_id"), "aquifer_id")
 
 
 @query("J08_first_polygon", sql(f"{INSIDE} SELECT w.well_id AS id, min(i.aquifer_id) AS aquifer_id FROM well w LEFT JOIN ins i ON i.well_id = w.well_id AND inside GROUP BY w.well_id", "well", "edge"))

@@ -51,12 +51,23 @@ def _(t):
     return t.read("part").select(PART, F.levenshtein("p_name", "p_type").cast("long").alias("edits"))
 
 
+HEADERS = ["Well_ID", " Latitude ", "date", "Water Level", "WTE", "NO3", "Fe (mg/L)", "E. coli", "Aquifer_Name", "lon", "Head", "HCO3 [mg/L]", "Chloride", "surface_elevation"]
+
+
+def quoted(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 @query(
     "P06_reserved_names",
-    "SELECT p_brand, count(*) AS n FROM part WHERE lower(p_brand) IN ('brand#11', 'brand#12', 'brand#13', 'brand#21') GROUP BY p_brand",
+    sql(rf"""h AS (SELECT p_partkey, [{quoted(HEADERS)}][p_partkey % {len(HEADERS)} + 1] AS h FROM part),
+c AS (SELECT unnest([{quoted(S.CHEMICAL)}]) AS formula, unnest([{quoted(S.CHEMICAL.values())}]) AS code)
+SELECT p_partkey, CASE WHEN lower(trim(h)) IN ({quoted(S.RESERVED)}) THEN 'reserved' WHEN lower(trim(h)) IN ({quoted(S.WATER_LEVEL)}) THEN 'water_level' ELSE 'other' END AS kind, code
+FROM h LEFT JOIN c ON formula = trim(regexp_replace(lower(trim(regexp_replace(h, '\s*[(\[][^)\]]*[)\]]\s*$', ''))), '[^a-z0-9]+', ' ', 'g'))"""),
 )
 def _(t):
-    return t.read("part").where(F.lower("p_brand").isin("brand#11", "brand#12", "brand#13", "brand#21")).groupBy("p_brand").agg(F.count("*").alias("n"))
+    header = F.element_at(F.array(*map(F.lit, HEADERS)), (F.col(PART) % len(HEADERS) + 1).cast("int"))
+    return t.read("part").select(PART, S.column_kind(header).alias("kind"), S.chemical_code(header).alias("code"))
 
 
 TEXTS = """d AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y')

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolith.functions import scalars as S
+from hydrolith.sources.shapefile import shapefiles
 
 RINGS = "array<array<array<double>>>"
 
@@ -103,12 +104,14 @@ def bare_polygons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uploaded(spark: SparkSession, path: str) -> DataFrame:
-    """A file by its extension: .csv and .txt as tables, .json and .geojson as outer rings; others are refused [S10]."""
+    """A file by its extension: .csv and .txt as tables, .json and .geojson as outer rings, .zip as shapefiles; others are refused [S10]."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("csv", "txt"):
         return read_table(spark, path)
     if kind in ("json", "geojson"):
         return bare_polygons(spark, path)
+    if kind == "zip":
+        return shapefiles(spark, path)
     raise ValueError(f"no reader for files that end in .{kind}")
 
 
