@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from hydrolith.llm.common import WORD, stored
 
-#: Documents that are ordered in one task, about.
-PART = 2_000
+#: Documents that are ordered in one task, about, and the most parts: beyond, parts grow, for the driver deals out their ranges.
+PART, PARTS = 2_000, 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), se
             (-F.log(u) / F.greatest(weight if weight is not None else quality_weight(text), F.lit(1e-6))).alias("key"),
         )
     )
-    n = max(1, -(-rows.count() // PART))
+    n = max(1, min(PARTS, -(-rows.count() // PART)))
     rows = stored(rows.repartitionByRange(n, F.col("source").isNull(), "source", "key", "doc_id", "size").withColumn("part", F.spark_partition_id()))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = source_targets(sizes, most, weights)
