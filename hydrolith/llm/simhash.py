@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +152,9 @@ def _filed(nodes: DataFrame) -> DataFrame:
 
 
 def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= most
+    """Whether fingerprints of one word, or of a row of words each, differ in most bits at most."""
+    bits = np.bitwise_count(a ^ b)
+    return (bits.sum(axis=1, dtype=np.int64) if bits.ndim > 1 else bits) <= most
 
 
 def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -198,34 +200,40 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     """
     if most > 3:
         raise ValueError("the keys guarantee 3 bits at most")
-    filed = _filed(nodes)
+    return met(_filed(nodes), ["fp"], lambda a: a, most)
+
+
+def met(filed: DataFrame, words: list[str], name: Callable[[np.ndarray], np.ndarray], most: int) -> DataFrame:
+    """Links (a, b), by name, between fingerprints of filed(key, words) under one key that differ in at most most bits."""
     blocks = filed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
-    dealt = filed.join(blocks, "key", "left").withColumn("block", F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int"))
-    whole = dealt.where("n is null").select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "fp")
+    dealt = filed.join(blocks, "key", "left").withColumn("block", F.pmod(F.xxhash64(*words), F.coalesce("n", F.lit(1))).cast("int"))
+    whole = dealt.where("n is null").select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), *words)
     cut = dealt.where("n is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cut = cut.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "fp")
+    cut = cut.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), *words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty(0, np.int64), np.empty(0, np.int64)
+        kept = None
         for batch in batches:
-            group = batch.column("grp").to_numpy(zero_copy_only=False)
-            if not len(group):
+            keys = batch.column("grp").to_numpy(zero_copy_only=False)
+            if not len(keys):
                 continue
-            keys = np.concatenate([kept[0], group])
-            fps = np.concatenate([kept[1], batch.column("fp").to_numpy(zero_copy_only=False)])
+            fps = np.column_stack([batch.column(w).to_numpy(zero_copy_only=False) for w in words])
+            if kept is not None:
+                keys, fps = np.concatenate([kept[0], keys]), np.concatenate([kept[1], fps])
             last = np.searchsorted(keys, keys[-1])
             kept = keys[last:], fps[last:]
             if last:
                 yield linked(keys[:last], fps[:last])
-        if len(kept[0]):
+        if kept is not None:
             yield linked(*kept)
 
     def linked(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        a, b = _pairs(keys, fps.view(np.uint64), most)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        fps = fps.view(np.uint64)
+        a, b = _pairs(keys, fps[:, 0] if len(words) == 1 else fps, most)
+        return pa.RecordBatch.from_arrays([pa.array(name(a).view(np.int64)), pa.array(name(b).view(np.int64))], ["a", "b"])
 
     # two keys whose groups get one hash only add comparisons, for each link is verified
-    groups = whole.union(cut).select(F.xxhash64("key", "p", "q").alias("grp"), "fp")
+    groups = whole.union(cut).select(F.xxhash64("key", "p", "q").alias("grp"), *words)
     dealt = groups.repartition("grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 

@@ -3,10 +3,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from hydrolith.llm import quality, simhash
+from hydrolith.llm import quality
 from tests.llm.test_lines_and_mixing import brute_lines
+from tests.llm.test_near_copies import brute_similar
 from tests.llm.test_passages import brute_contained
-from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 
 def tables():
@@ -50,7 +50,7 @@ def test_pipeline_as_by_brute_force(spark, tmp_path):
     kept = [(i, t) for i, t, *_ in docs if predicted[i]]
     lines = brute_lines(kept, 2)
     left = sorted(lines.items())
-    groups = brute_components([brute_fingerprint(t) for _, t in left])
+    groups = brute_similar([t for _, t in left])
     left = [x for k, x in enumerate(left) if groups[k] == k]
     bad = {i for i, *_ in brute_contained(left, items)}
     want = {i: len(t.split()) for i, t in left if i not in bad}
@@ -64,7 +64,6 @@ def test_pipeline_as_by_brute_force(spark, tmp_path):
     assert all(r["source_size"] == total[source[r["doc_id"]]] for r in found)
     for stage in corpus_pipeline.STAGES[:-1]:
         assert stage[1](spark, frame, str(tmp_path)).columns == frame.columns
-    assert simhash.fingerprint("x") == brute_fingerprint("x")
 
 
 def test_stages_take_odd_tables(spark, tmp_path):
