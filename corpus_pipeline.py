@@ -12,8 +12,8 @@ from hydrolith.llm.common import ensure_checkpoint_dir, read, remove
 from hydrolith.llm.decontaminate import decontaminate
 from hydrolith.llm.line_dedup import deduplicate_lines
 from hydrolith.llm.mixing import mix
+from hydrolith.llm.near_copies import deduplicate_similar
 from hydrolith.llm.quality import keep_good
-from hydrolith.llm.simhash import deduplicate
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Words from which on a line that repeats goes by itself.
@@ -34,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return deduplicate(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    return deduplicate_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
