@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hydrolith.llm.common import stored
 from hydrolith.llm.graph import connected_components
 from hydrolith.llm.kernels import WordHash, mixed, ngrams
-from hydrolith.llm.simhash import LENGTH, Golay, met
+from hydrolith.llm.simhash import BLOCK, LENGTH, Golay, _pairs, met
 
 #: Bits of a fingerprint of 128 in which a candidate may differ; at a similarity of 0.8 some 19 do.
 RADIUS = 27
@@ -66,18 +66,16 @@ def _fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _segments(high: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
-    """Five segments of 23 bits: two of either word, one of bits that both have left."""
+    """Four segments of 23 bits, two of either word."""
     mask = np.uint64((1 << LENGTH) - 1)
-    parts = [w >> np.uint64(s) & mask for w in (high, low) for s in (0, LENGTH)]
-    parts.append(high >> np.uint64(46) | (low >> np.uint64(46) & np.uint64(31)) << np.uint64(18))
-    return [p.astype(np.uint32) for p in parts]
+    return [(w >> np.uint64(s) & mask).astype(np.uint32) for w in (high, low) for s in (0, LENGTH)]
 
 
 def wide_keys(high: np.ndarray, low: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray]:
     """Keys under which fingerprints are filed, with the number of the fingerprint.
 
     Each segment is decoded to the codewords within distance 4, six at most. Two fingerprints share a key if of two
-    segments each is near a codeword that is near the other's: errors in the other three don't matter.
+    segments each is near a codeword that is near the other's: errors in the other two don't matter.
     """
     near = [np.sort(code.around(s), axis=1)[:, -6:] for s in _segments(high, low)]
     keys, at = [], []
@@ -97,9 +95,10 @@ def _filed(fps: DataFrame) -> DataFrame:
             for i in range(0, len(high), 512):
                 part = high[i : i + 512], low[i : i + 512]
                 keys, at = wide_keys(part[0].view(np.uint64), part[1].view(np.uint64), code)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[0][at]), pa.array(part[1][at])], ["key", "high", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[0][at]), pa.array(part[1][at])], ["key", "high", "low"])
 
-    return fps.select("high", "low").mapInArrow(run, "key long, high long, low long")
+    many = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.select("high", "low").repartition(many, "high", "low").mapInArrow(run, "key int, high long, low long")
 
 
 def _name(fps: np.ndarray) -> np.ndarray:
@@ -108,6 +107,51 @@ def _name(fps: np.ndarray) -> np.ndarray:
         return mixed(mixed(fps[:, 0]) + fps[:, 1])
 
 
+def _candidates(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) by name between fingerprints fps(high, low) that share a key and differ in radius bits at most.
+
+    Filed rows move once. A key with more than BLOCK of them is passed on as it is read, and its blocks meet afterwards.
+    """
+    schema = pa.schema([("key", pa.int32()), *((n, pa.int64()) for n in ("high", "low", "a", "b"))])
+
+    def raw(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy()), none, none], schema=schema)
+
+    def linked(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = (_name(x).view(np.int64) for x in _pairs(keys, fps.view(np.uint64), radius))
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), none, none, pa.array(a), pa.array(b)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, heavy = np.empty(0, np.int32), np.empty((0, 2), np.int64), None
+        for batch in batches:
+            more = batch.column("key").to_numpy(zero_copy_only=False)
+            both = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("high", "low")])
+            if heavy is not None:
+                same = int(np.searchsorted(more, heavy, "right"))
+                if same:
+                    yield raw(more[:same], both[:same])
+                more, both = more[same:], both[same:]
+            if not len(more):
+                continue
+            keys, fps, heavy = np.concatenate([keys, more]), np.concatenate([fps, both]), None
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield linked(keys[:last], fps[:last])
+            keys, fps = keys[last:], fps[last:]
+            if len(keys) > BLOCK:
+                yield raw(keys, fps)
+                keys, fps, heavy = keys[:0], fps[:0], keys[-1]
+        if len(keys):
+            yield linked(keys, fps)
+
+    sorted_rows = _filed(fps).repartition("key").sortWithinPartitions("key")
+    found = stored(sorted_rows.mapInArrow(run, "key int, high long, low long, a long, b long"))
+    light = found.where("a is not null").select("a", "b").distinct()
+    return light.union(met(found.where("a is null").select("key", "high", "low"), ["high", "low"], _name, radius))
+
+
 def similar(sets: list[np.ndarray], fps: np.ndarray, least: float, radius: int) -> list[tuple[int, int]]:
     """Pairs that link what is linked among sets, one fewer than the sets of each component at most.
 
@@ -162,7 +206,7 @@ def deduplicate_similar(docs: DataFrame, size: int = 5, least: float = 0.8, radi
     fps = _fingerprints(named, size)
     nodes = stored(fps.groupBy("node", "size", "high", "low").agg(F.min(F.struct("doc_id", "th")).alias("first")))
     wide = nodes.where("size > 0").select("high", "low").distinct()
-    classes = connected_components(met(_filed(wide), ["high", "low"], _name, radius))
+    classes = connected_components(_candidates(wide, radius))
     classes = stored(classes.select(F.col("node").alias("name"), F.col("component").alias("class")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from hydrolith.llm import near_copies, simhash
 from hydrolith.llm.kernels import WordHash
 from hydrolith.llm.near_copies import RADIUS, deduplicate_similar, shingles, similar, wide_fingerprint, wide_keys
 from hydrolith.llm.simhash import Golay
@@ -58,7 +59,7 @@ def test_kernel_links_what_shingles_link():
 
 
 def test_keys_meet_as_measured():
-    """Of fingerprints that differ in 19 bits, as many as a similarity of 0.8 gives, nine in ten share a key; of 12, all."""
+    """Of fingerprints that differ in 19 bits, as many as a similarity of 0.8 gives, over eight in ten share a key; of 12, nearly all."""
     rng = np.random.default_rng(4)
     code, share = Golay(), {}
     for far in (12, 19):
@@ -71,7 +72,7 @@ def test_keys_meet_as_measured():
             keys, at = wide_keys(fps[:, 0], fps[:, 1], code)
             filed.append([set(keys[at == i].tolist()) for i in range(len(fps))])
         share[far] = np.mean([bool(x & y) for x, y in zip(*filed, strict=True)])
-    assert share[12] > 0.99 and share[19] > 0.9 and RADIUS >= 19
+    assert share[12] > 0.97 and share[19] > 0.8 and RADIUS >= 19
 
 
 def test_stage_as_by_brute_force(spark):
@@ -83,8 +84,21 @@ def test_stage_as_by_brute_force(spark):
     rng.shuffle(texts)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     kept = [r["doc_id"] for r in deduplicate_similar(frame).collect()]
-    label = brute_similar(texts)
-    assert sorted(kept) == sorted(set(label))
+    want = set(brute_similar(texts))
+    # what isn't similar is never linked; of what is, four segments miss about one link in a hundred here
+    assert len(kept) == len(set(kept)) and want <= set(kept) and len(set(kept) - want) <= 0.02 * len(texts)
+
+
+def test_heavy_keys_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    hub = [f"v{rng.randrange(900)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, hub, rng.randint(0, 3))) for _ in range(120)] + ["a text by itself that no other one is like"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for module in (near_copies, simhash):
+        monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "MEMBERS", 40)
+    kept = sorted(r["doc_id"] for r in deduplicate_similar(frame).collect())
+    assert kept == sorted(set(brute_similar(texts))) and len(kept) < 10
 
 
 def test_odd_rows(spark):
