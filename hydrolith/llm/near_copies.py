@@ -8,18 +8,18 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import stored
+from hydrolith.llm.common import salted_join, stored
 from hydrolith.llm.graph import connected_components
 from hydrolith.llm.kernels import WordHash, mixed, ngrams
 from hydrolith.llm.simhash import BLOCK, LENGTH, Golay, _pairs, met
 
 #: Bits of a fingerprint of 128 in which a candidate may differ; at a similarity of 0.8 some 19 do.
 RADIUS = 27
-#: A class of candidates is cut into blocks of about so many shingles and documents, and each two of them meet.
-SHINGLES, MEMBERS = 1 << 20, 4096
+#: A class of candidates is cut into blocks of about so many shingles and documents.
+SHINGLES, MEMBERS = 1 << 19, 512
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -152,20 +152,22 @@ def _candidates(fps: DataFrame, radius: int) -> DataFrame:
     return light.union(met(found.where("a is null").select("key", "high", "low"), ["high", "low"], _name, radius))
 
 
-def similar(sets: list[np.ndarray], fps: np.ndarray, least: float, radius: int) -> list[tuple[int, int]]:
+def similar(sets: list[np.ndarray], fps: np.ndarray, least: float, radius: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that link what is linked among sets, one fewer than the sets of each component at most.
 
-    Sets are linked if their fingerprints differ in radius bits at most and their Jaccard similarity is least or more.
-    The nearest fingerprints are tried first, and none within one component, so that copies of one text need few trials.
+    Sets are linked if their fingerprints differ in radius bits at most and their Jaccard similarity is least or more;
+    those of one label are linked already. The nearest fingerprints are tried first, and none within one component, so
+    that copies of one text need few trials.
     """
     size = np.array([len(s) for s in sets])
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else label.copy()
     out = []
     for low, high in ((-1, 9), (9, 15), (15, 21), (21, radius)):
         for i in range(1, len(sets)):
-            far = np.bitwise_count(fps[:i] ^ fps[i]).sum(axis=1, dtype=np.int64)
-            room = np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])
-            for j in np.flatnonzero((far > low) & (far <= high) & room & (label[:i] != label[i])):
+            apart = np.flatnonzero(label[:i] != label[i])
+            apart = apart[np.minimum(size[apart], size[i]) >= least * np.maximum(size[apart], size[i])]
+            far = np.bitwise_count(fps[apart] ^ fps[i]).sum(axis=1, dtype=np.int64)
+            for j in apart[(far > low) & (far <= high)]:
                 if label[j] == label[i]:
                     continue
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -175,20 +177,70 @@ def similar(sets: list[np.ndarray], fps: np.ndarray, least: float, radius: int)
     return out
 
 
-def _verified(members: DataFrame, size: int, least: float, radius: int) -> DataFrame:
-    """Links (a, b) between nodes of members(class, node, size, high, low, text) of one class."""
-    cuts = members.groupBy("class").agg(F.ceil(F.greatest(F.sum("size") / SHINGLES, F.count("*") / MEMBERS)).cast("int").alias("cuts"))
-    dealt = members.join(cuts, "class").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    dealt = dealt.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+def _blocks(size: Column, rows: Column) -> Column:
+    return F.ceil(F.greatest(size / SHINGLES, rows / MEMBERS)).cast("int")
+
+
+def _in(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def _cut(members: DataFrame) -> DataFrame:
+    """members with the number of blocks that their class is cut into, and with their own block, p and q."""
+    sums = members.groupBy("class").agg(F.count("*").alias("n"), _blocks(F.sum("size"), F.count("*")).alias("cuts"))
+    return salted_join(members, stored(sums), ["class"], "n").drop("n").withColumn("p", _in(F.col("cuts"))).withColumn("q", F.col("p"))
+
+
+def _compared(groups: DataFrame, size: int, least: float, radius: int) -> DataFrame:
+    """Links (a, b) between nodes of groups(class, p, q, node, label, high, low, text) in one group but of different labels."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         seen, nodes = WordHash(), group["node"].to_numpy()
         sets = [shingles(t, size, seen) for t in group["text"]]
-        found = similar(sets, group[["high", "low"]].to_numpy(np.int64).view(np.uint64), least, radius)
+        label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
+        found = similar(sets, group[["high", "low"]].to_numpy(np.int64).view(np.uint64), least, radius, label)
         return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("class", "p", "q").applyInPandas(run, "a long, b long").distinct()
+    wanted = groups.select("class", "p", "q", "node", "label", "high", "low", "text")
+    return stored(wanted.groupBy("class", "p", "q").applyInPandas(run, "a long, b long").distinct())
+
+
+def _verified(members: DataFrame, size: int, least: float, radius: int) -> DataFrame:
+    """Links (a, b) that connect what is linked among the nodes of members(class, node, size, high, low, text) of one class.
+
+    Classes are cut into blocks, and members of one block compared. Of each component found in a class of several
+    blocks the least node goes on to blocks of such, as long as each round halves them. Components that are then left
+    in one class are compared in full: members outside the largest one meet its blocks and each other. So near copies
+    of one text cost in proportion to their number, however many they are, and no pair is left out.
+    """
+    dealt = _cut(members).withColumn("label", F.col("node"))
+    links = _compared(dealt, size, least, radius)
+    wide = stored(dealt.where("cuts > 1").select(*members.columns))
+    if wide.isEmpty():
+        return links
+    texts = wide.select("node", "high", "low", "text")
+    known = stored(links.join(wide.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
+    before = None
+    while True:
+        found = connected_components(known)
+        names = stored(wide.select("class", "node", "size").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+        heads = names.where("node = label")
+        now = heads.count()
+        if before is not None and 2 * now > before:
+            break
+        known = stored(known.union(_compared(_cut(heads).join(texts, "node"), size, least, radius)))
+        before = now
+    sums = names.groupBy("class", "label").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
+    main = F.max(F.struct("rows", "size", "label"))
+    sums = sums.groupBy("class").agg(main.alias("main"), F.sum("rows").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels"))
+    rest = _blocks(F.col("size") - F.col("main.size"), F.col("n") - F.col("main.rows"))
+    parts = sums.where("labels > 1").select("class", "n", F.col("main.label").alias("main"), _blocks(F.col("main.size"), F.col("main.rows")).alias("cuts"), rest.alias("rest"))
+    apart = salted_join(names, stored(parts), ["class"], "n")
+    within, end = F.col("label") == F.col("main"), F.col("cuts") + F.col("rest") - 1
+    apart = apart.withColumn("own", F.when(within, _in(F.col("cuts"))).otherwise(F.col("cuts") + _in(F.col("rest"))))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.when(within, F.col("cuts")).otherwise(F.lit(0)), end)))
+    apart = apart.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    return links.union(known).union(_compared(apart.join(texts, "node"), size, least, radius)).distinct()
 
 
 def deduplicate_similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:

@@ -101,6 +101,38 @@ def test_heavy_keys_meet_in_blocks(spark, monkeypatch):
     assert kept == sorted(set(brute_similar(texts))) and len(kept) < 10
 
 
+def test_large_classes_are_compared_in_full(spark, monkeypatch):
+    """A class of many blocks that falls into several components, the members of which lie all over the blocks."""
+    rng = random.Random(8)
+    hub = [f"v{rng.randrange(900)}" for _ in range(150)]
+    far = edited(rng, hub, 9)
+    families = [hub, far, edited(rng, far, 9), edited(rng, hub, 12)]
+    texts = [" ".join(edited(rng, f, rng.randint(0, 2))) for f, n in zip(families, (60, 25, 25, 9), strict=True) for _ in range(n)]
+    rng.shuffle(texts)
+    seen = WordHash()
+    sets = [shingles(t, 5, seen) for t in texts]
+    schema = "class long, node long, size long, high long, low long, text string"
+    rows = []
+    for i, (t, s) in enumerate(zip(texts, sets, strict=True)):
+        high, low = (int(x) for x in np.array(wide_fingerprint(s), np.uint64).view(np.int64))
+        rows.append((i % 2 if i < 12 else 2, i, len(s), high, low, t))
+    frame = spark.createDataFrame(rows, schema).repartition(4)
+    for members, count in ((8, 1 << 19), (512, 1 << 10), (512, 1 << 19)):
+        monkeypatch.setattr(near_copies, "MEMBERS", members)
+        monkeypatch.setattr(near_copies, "SHINGLES", count)
+        found = [(r["a"], r["b"]) for r in near_copies._verified(frame, 5, 0.8, 128).collect()]
+        label = list(range(len(texts)))
+        for a, b in found:
+            assert rows[a][0] == rows[b][0]
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        for c in range(3):
+            own = [i for i, r in enumerate(rows) if r[0] == c]
+            want = [own[k] for k in brute_similar([texts[i] for i in own])]
+            assert [label[i] for i in own] == want
+        assert len({label[i] for i in range(12, len(texts))}) > 1
+
+
 def test_odd_rows(spark):
     text = "one river runs by the stone field and then on to the water"
     rows = [(1, text, "a", 1), (1, text, "a", 1), (1, "another text stands under this number", None, None), (2, None, "b", 2), (3, "", "b", 3), (4, text + " ", "x", 1)]
