@@ -191,18 +191,37 @@ def _cut(members: DataFrame) -> DataFrame:
     return salted_join(members, stored(sums), ["class"], "n").drop("n").withColumn("p", _in(F.col("cuts"))).withColumn("q", F.col("p"))
 
 
+def _star(pairs: list[tuple[int, int]], names: np.ndarray) -> list[tuple[int, int]]:
+    """The names that pairs link, each with the least one of its component, but for that one itself."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    for i, j in pairs:
+        x, y = sorted((root(int(names[i])), root(int(names[j]))))
+        if x != y:
+            up[y] = x
+    return [(x, root(x)) for x in list(up)]
+
+
 def _compared(groups: DataFrame, size: int, least: float, radius: int) -> DataFrame:
-    """Links (a, b) between nodes of groups(class, p, q, node, label, high, low, text) in one group but of different labels."""
+    """Nodes a of groups(class, p, q, node, label, high, low, text) with the least node b that links within a group reach.
+
+    Nodes of one label are not compared.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        seen, nodes = WordHash(), group["node"].to_numpy()
+        seen = WordHash()
         sets = [shingles(t, size, seen) for t in group["text"]]
         label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
         found = similar(sets, group[["high", "low"]].to_numpy(np.int64).view(np.uint64), least, radius, label)
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_star(found, group["node"].to_numpy()), columns=["a", "b"], dtype="int64")
 
     wanted = groups.select("class", "p", "q", "node", "label", "high", "low", "text")
-    return stored(wanted.groupBy("class", "p", "q").applyInPandas(run, "a long, b long").distinct())
+    return stored(wanted.groupBy("class", "p", "q").applyInPandas(run, "a long, b long"))
 
 
 def _verified(members: DataFrame, size: int, least: float, radius: int) -> DataFrame:
@@ -219,17 +238,17 @@ def _verified(members: DataFrame, size: int, least: float, radius: int) -> DataF
     if wide.isEmpty():
         return links
     texts = wide.select("node", "high", "low", "text")
-    known = stored(links.join(wide.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
-    before = None
-    while True:
-        found = connected_components(known)
-        names = stored(wide.select("class", "node", "size").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-        heads = names.where("node = label")
-        now = heads.count()
-        if before is not None and 2 * now > before:
-            break
-        known = stored(known.union(_compared(_cut(heads).join(texts, "node"), size, least, radius)))
-        before = now
+    # each node is in one block, so links name its component
+    names = wide.select("class", "node", "size").join(links, F.col("node") == F.col("a"), "left")
+    names = stored(names.select("class", "node", "size", F.coalesce("b", "node").alias("label")))
+    before, now = None, names.where("node = label").count()
+    while before is None or 2 * now <= before:
+        found = _compared(_cut(names.where("node = label")).join(texts, "node"), size, least, radius)
+        links = links.union(found)
+        heads = names.groupBy("label").agg(F.count("*").alias("rows")).join(found, F.col("label") == F.col("a"), "left")
+        heads = stored(heads.select("label", "rows", F.coalesce("b", "label").alias("head")))
+        names = stored(salted_join(names, heads, ["label"], "rows").select("class", "node", "size", F.col("head").alias("label")))
+        before, now = now, names.where("node = label").count()
     sums = names.groupBy("class", "label").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
     main = F.max(F.struct("rows", "size", "label"))
     sums = sums.groupBy("class").agg(main.alias("main"), F.sum("rows").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels"))
@@ -240,7 +259,7 @@ def _verified(members: DataFrame, size: int, least: float, radius: int) -> DataF
     apart = apart.withColumn("own", F.when(within, _in(F.col("cuts"))).otherwise(F.col("cuts") + _in(F.col("rest"))))
     apart = apart.withColumn("other", F.explode(F.sequence(F.when(within, F.col("cuts")).otherwise(F.lit(0)), end)))
     apart = apart.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    return links.union(known).union(_compared(apart.join(texts, "node"), size, least, radius)).distinct()
+    return links.union(_compared(apart.join(texts, "node"), size, least, radius))
 
 
 def deduplicate_similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
