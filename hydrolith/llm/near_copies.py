@@ -20,6 +20,8 @@ from hydrolith.llm.simhash import BLOCK, LENGTH, Golay, _pairs, met
 RADIUS = 27
 #: A class of candidates is cut into blocks of about so many shingles and documents.
 SHINGLES, MEMBERS = 1 << 19, 512
+#: Links that a task holds at once to thin them.
+LINKS = 1 << 18
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -107,6 +109,36 @@ def _name(fps: np.ndarray) -> np.ndarray:
         return mixed(mixed(fps[:, 0]) + fps[:, 1])
 
 
+def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what links (a, b) connect, without circles: those of least names, so that tasks return the same ones."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    names, at = np.unique(np.concatenate([low, high]), return_inverse=True)
+    at, up, kept = at.reshape(2, -1), list(range(len(names))), []
+    for k in np.lexsort((high, low)).tolist():
+        x, y = int(at[0, k]), int(at[1, k])
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    return low[kept], high[kept]
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        a, b = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate((a, b)))
+        if len(a) > LINKS:
+            a, b = thinned(a, b)
+            if 2 * len(a) > LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b = a[:0], b[:0]
+    a, b = thinned(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _candidates(fps: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) by name between fingerprints fps(high, low) that share a key and differ in radius bits at most.
 
@@ -119,7 +151,8 @@ def _candidates(fps: DataFrame, radius: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy()), none, none], schema=schema)
 
     def linked(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        a, b = (_name(x).view(np.int64) for x in _pairs(keys, fps.view(np.uint64), radius))
+        order = np.lexsort((_name(fps.view(np.uint64)), keys))
+        a, b = thinned(*(_name(x).view(np.int64) for x in _pairs(keys[order], fps[order].view(np.uint64), radius)))
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), none, none, pa.array(a), pa.array(b)], schema=schema)
 
@@ -148,7 +181,8 @@ def _candidates(fps: DataFrame, radius: int) -> DataFrame:
 
     sorted_rows = _filed(fps).repartition("key").sortWithinPartitions("key")
     found = stored(sorted_rows.mapInArrow(run, "key int, high long, low long, a long, b long"))
-    light = found.where("a is not null").select("a", "b").distinct()
+    # a task reads what several have written, so that their common links go before they move
+    light = found.where("a is not null").select("a", "b").mapInArrow(_thin, "a long, b long").distinct()
     return light.union(met(found.where("a is null").select("key", "high", "low"), ["high", "low"], _name, radius))
 
 

@@ -143,3 +143,19 @@ def test_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, (r["text"] or "")[:7]) for r in found.collect())
     assert got == [(0, ""), (0, "one riv"), (1, "another"), (1, "one riv"), (2, ""), (5, "w w w w")]
     assert deduplicate_similar(frame.limit(0)).count() == 0
+
+
+def test_thinned_links_connect_the_same():
+    rng = np.random.default_rng(9)
+    for n, m in ((0, 0), (1, 30), (40, 30), (400, 90)):
+        a, b = rng.integers(-m, m, (2, n))
+        low, high = near_copies.thinned(a, b)
+        assert set(zip(low, high, strict=True)) <= set(zip(np.minimum(a, b), np.maximum(a, b), strict=True))
+        parts = []
+        for pairs in (zip(a, b, strict=True), zip(low, high, strict=True)):
+            label = {x: x for x in (*a.tolist(), *b.tolist())}
+            for x, y in pairs:
+                old, new = max(label[x], label[y]), min(label[x], label[y])
+                label = {k: new if v == old else v for k, v in label.items()}
+            parts.append(label)
+        assert parts[0] == parts[1] and len(low) == len(parts[0]) - len(set(parts[0].values()))
