@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_listening: list[list[str]] = []
+
+
+@contextmanager
+def tables_kept() -> Iterator[list[str]]:
+    """A list to which the paths of tables are added that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _listening.append(paths)
+    try:
+        yield paths
+    finally:
+        _listening[:] = [x for x in _listening if x is not paths]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the application's checkpoint folder: smaller than a checkpoint, and read by column."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    for paths in _listening:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
