@@ -105,11 +105,10 @@ def fuzzy_parameters(headers: DataFrame, parameters: DataFrame) -> DataFrame:
 
 
 def pairwise_correlation(series: DataFrame, least: int = 8) -> DataFrame:
-    """(a, b, r, n) of each two keys of one group with enough times in common: (grp, key, t, value) [J21, V01]."""
-    left = series.select("grp", F.col("key").alias("a"), "t", F.col("value").alias("x"))
-    right = series.select("grp", F.col("key").alias("b"), "t", F.col("value").alias("y"))
-    both = left.join(right, ["grp", "t"]).where("a < b")
-    return both.groupBy("grp", "a", "b").agg(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
+    """(grp, a, b, r, n) of each two keys of one group with enough times in common, by blocks of keys: (grp, key, t, value) [J21, V01]."""
+    from hydrolith.operators.pairs import correlations
+
+    return correlations(series, least)
 
 
 def snap_to_month(points: DataFrame, grid: DataFrame, key: str) -> DataFrame:
