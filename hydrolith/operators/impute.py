@@ -322,20 +322,13 @@ def impute_series(monthly: DataFrame, method: str = "elm", seed: int = 42, least
 
 
 def donor_estimates(series: DataFrame, donors: int = 50, common: int = 8) -> DataFrame:
-    """(grp, key, t, value): mean of regressions on the best-correlated series of the group, weighed by r squared [M03].
+    """(grp, key, t, value, n_donors): mean of regressions on the best-correlated series of the group, weighed by r squared [M03].
 
-    series: grp, key, t, value. A plan of joins and sums; pairs meet within their group only.
+    series: grp, key, t, value. Pairs meet within their group only, by blocks of series.
     """
-    a = series.select("grp", F.col("key").alias("a"), "t", F.col("value").alias("x"))
-    b = series.select("grp", F.col("key").alias("b"), "t", F.col("value").alias("y"))
-    both = a.join(b, ["grp", "t"]).where("a <> b")
-    pairs = both.groupBy("grp", "a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("c"), F.var_pop("y").alias("v"))
-    best = Window.partitionBy("grp", "a").orderBy(F.abs("r").desc(), "b")
-    pairs = pairs.where((F.col("n") >= common) & (F.col("v") > 0) & ~F.isnan("r")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= donors)
-    guess = F.col("mx") + F.col("c") / F.col("v") * (F.col("y") - F.col("my"))
-    w = F.col("r") * F.col("r")
-    out = pairs.join(b, ["grp", "b"]).groupBy("grp", F.col("a").alias("key"), "t")
-    return out.agg((F.sum(w * guess) / F.sum(w)).alias("value"), F.count("*").alias("n_donors"))
+    from hydrolith.operators.pairs import estimates
+
+    return estimates(series, donors, common)
 
 
 def eof_modes(monthly: DataFrame, group: str, modes: int = 3) -> DataFrame:

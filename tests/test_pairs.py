@@ -9,10 +9,13 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from hydrolith.operators import merge, pairs
+from hydrolith.operators import impute, merge, pairs
 
 KIND = "grp string, key long, t long, value double"
 J21 = "SELECT a.grp, a.key AS a, b.key AS b, corr(a.value, b.value) AS r, count(*) AS n FROM s a JOIN s b ON a.grp = b.grp AND a.t = b.t AND a.key < b.key GROUP BY ALL HAVING count(*) >= 8"
+M03 = """WITH pr AS (SELECT a.grp, a.key AS a, b.key AS b, corr(a.value, b.value) AS r, avg(a.value) AS mx, avg(b.value) AS my, covar_pop(a.value, b.value) AS c, var_pop(b.value) AS v FROM s a JOIN s b ON a.grp = b.grp AND a.t = b.t AND a.key <> b.key GROUP BY ALL HAVING count(*) >= 8 AND var_pop(b.value) > 0),
+bp AS (SELECT *, row_number() OVER (PARTITION BY grp, a ORDER BY abs(r) DESC, b) AS k FROM pr WHERE NOT isnan(r))
+SELECT p.grp, p.a AS key, s.t, sum(r * r * (mx + c / v * (s.value - my))) / sum(r * r) AS value, count(*) AS n_donors FROM bp p JOIN s ON s.grp = p.grp AND s.key = p.b WHERE k <= 5 GROUP BY ALL"""
 
 
 def odd_series():
@@ -49,6 +52,13 @@ def test_correlations_equal_sql(spark, monkeypatch, block):
     held_against(merge.pairwise_correlation(spark.createDataFrame(rows, KIND)), J21, rows, ["grp", "a", "b"], "r")
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_donors_equal_sql(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    rows = odd_series()
+    held_against(impute.donor_estimates(spark.createDataFrame(rows, KIND), 5), M03, rows, ["grp", "key", "t"], "value")
+
+
 def moved(spark, run):
     """Rows that shuffles write while run() runs."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
@@ -63,7 +73,7 @@ def moved(spark, run):
     return sum(n for k, n in written().items() if k not in before)
 
 
-@pytest.mark.parametrize("operator", [merge.pairwise_correlation])
+@pytest.mark.parametrize("operator", [merge.pairwise_correlation, impute.donor_estimates])
 def test_pairs_are_not_moved(spark, operator):
     rng = np.random.default_rng(2)
     s = spark.createDataFrame([("a", k, t, float(rng.random())) for k in range(150) for t in range(12)], KIND)
