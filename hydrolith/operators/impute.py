@@ -43,6 +43,38 @@ def soft_impute(x: np.ndarray, rank: int, shrink: float = 0.0, rounds: int = 80,
     return out
 
 
+def soft_impute_many(x: np.ndarray, rank: int, rounds: int, tol: float) -> np.ndarray:
+    """soft_impute() without shrinkage, from row means to the largest change of a cell, of many matrices of one shape at once.
+
+    The leading singular vectors of the shorter side come from its products, and only missing cells are made anew.
+    """
+    if x.shape[1] > x.shape[2]:
+        raise ValueError("more rows than columns")
+    seen = np.isfinite(x)
+    n = seen.sum(axis=2, keepdims=True)
+    whole = np.where(seen, x, 0).sum(axis=(1, 2)) / np.maximum(n.sum(axis=(1, 2)), 1)
+    out = np.where(seen, x, np.where(n > 0, np.where(seen, x, 0).sum(axis=2, keepdims=True) / np.maximum(n, 1), whole[:, None, None]))
+    left = np.flatnonzero(~seen.all(axis=(1, 2)))
+    now, last = out[left], None
+    for _ in range(rounds):
+        if not len(left):
+            break
+        if last is not left:
+            b, i, j = np.nonzero(~seen[left])
+            first, last = np.flatnonzero(np.diff(b, prepend=-1)), left
+        turned = now.transpose(0, 2, 1)
+        u = np.linalg.eigh(now @ turned)[1][:, :, -rank:]
+        new = np.einsum("nk,nk->n", u[b, i], (turned @ u)[b, j])
+        moved = np.maximum.reduceat(np.abs(new - now[b, i, j]), first)
+        now[b, i, j] = new
+        if (moved <= tol).any():
+            out[left] = now
+            left = left[moved > tol]
+            now = out[left]
+    out[left] = now
+    return out
+
+
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
     """Ridge weights by the normal equations [V10]."""
     return np.linalg.lstsq(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ y, rcond=None)[0]
@@ -214,16 +246,46 @@ def complete_with_donors(x: np.ndarray, target: int, month: np.ndarray, donors:
             found.append((float(np.corrcoef(x[i][both], y[both])[0, 1]), i))
     found = sorted(found, key=lambda f: (-abs(f[0]), f[1]))[:donors]
 
+    r, at = np.array([[f[0] for f in found]]), np.array([[f[1] for f in found]], int)
+    return complete_from(y[None], r, at, x, month, rank)[0]
+
+
+def complete_from(y: np.ndarray, r: np.ndarray, at: np.ndarray, pool: np.ndarray, month: np.ndarray, rank: int = 3) -> np.ndarray:
+    """Series y (series x months) completed as by complete_with_donors(), from donors that are known: correlations r, rows ``at`` of pool (-1: none)."""
+
     def z(v: np.ndarray) -> np.ndarray:
-        return (v - np.nanmean(v)) / (np.nanstd(v, ddof=1) or 1.0)
+        some = np.isfinite(v)
+        n, filled = some.sum(axis=1, keepdims=True), np.where(some, v, 0)
+        gap = np.where(some, v - filled.sum(axis=1, keepdims=True) / np.maximum(n, 1), np.nan)
+        same = np.where(some, v, -np.inf).max(axis=1) == np.where(some, v, np.inf).min(axis=1)
+        sd = np.sqrt(np.nansum(gap * gap, axis=1) / np.maximum(n[:, 0] - 1, 1))
+        return np.where(same[:, None], gap * 0, gap / np.where(same | (sd == 0), 1.0, sd)[:, None])
 
+    seen = np.isfinite(y)
+    counts = (at >= 0).sum(axis=1)
     angle = 2 * np.pi * month / 12
-    rows = np.vstack([z(y), *[z(x[i]) * abs(r) for r, i in found], np.sin(angle), np.cos(angle)])
-    done = soft_impute(rows, min(rank, *rows.shape), rounds=100, tol=1e-7, start="row", stop="cell")[0]
-    pred = done * (y[seen].std(ddof=1) or 1.0) + y[seen].mean()
-    pred = move1(pred, pred[seen], y[seen])
-    margin = max(0.2 * np.ptp(y[seen]), 1.0)
-    return np.where(seen, y, np.clip(pred, y[seen].min() - margin, y[seen].max() + margin))
+    out, own, others = y.copy(), z(y), z(pool) if len(pool) else pool
+    for i in np.flatnonzero(seen.sum(axis=1) < 3):
+        out[i] = np.where(seen[i], y[i], y[i][seen[i]].mean() if seen[i].any() else 0.0)
+    for k in np.unique(counts):
+        which = np.flatnonzero((counts == k) & (seen.sum(axis=1) >= 3))
+        for start in range(0, len(which), 64):
+            some = which[start : start + 64]
+            rows = np.empty((len(some), k + 3, y.shape[1]))
+            rows[:, 0], rows[:, -2], rows[:, -1] = own[some], np.sin(angle), np.cos(angle)
+            rows[:, 1 : k + 1] = others[at[some, :k]] * np.abs(r[some, :k])[:, :, None] if k else 0
+            low = min(rank, *rows.shape[1:])
+            if rows.shape[1] <= rows.shape[2]:
+                done = soft_impute_many(rows, low, 100, 1e-7)[:, 0]
+            else:
+                done = np.array([soft_impute(m, low, rounds=100, tol=1e-7, start="row", stop="cell")[0] for m in rows])
+            for i, pred in zip(some, done, strict=True):
+                known = y[i][seen[i]]
+                pred = pred * (known.std(ddof=1) or 1.0) + known.mean()
+                pred = move1(pred, pred[seen[i]], known)
+                margin = max(0.2 * np.ptp(known), 1.0)
+                out[i] = np.where(seen[i], y[i], np.clip(pred, known.min() - margin, known.max() + margin))
+    return out
 
 
 def move1(pred: np.ndarray, model: np.ndarray, observed: np.ndarray) -> np.ndarray:
@@ -353,33 +415,37 @@ def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def impute_with_donors(monthly: DataFrame, group: str, donors: int = 50, common: int = 8) -> DataFrame:
-    """(group, key, m, value, observed): each series of a group completed from its donors [M04]. One group's matrix is what a task holds."""
+    """(group, key, m, value, observed): each series of a group completed from its donors [M04]. A task holds two blocks of series and the donors of one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        x, m = wide.to_numpy(float).T, wide.index.to_numpy(np.int64)
-        parts = [pd.DataFrame({group: pdf[group].iloc[0], "key": k, "m": m, "value": complete_with_donors(x, i, m, donors, common), "observed": np.isfinite(x[i])}) for i, k in enumerate(wide.columns)]
-        return pd.concat(parts, ignore_index=True)
+    from hydrolith.operators.pairs import completed
 
-    kind = dict(monthly.dtypes)
-    return monthly.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, key {kind['key']}, m long, value double, observed boolean")
+    return completed(monthly, group, donors, common, lambda x, keys: x, lambda x, held, r, at, pool, months, keys: complete_from(x, r, at, pool, months))
 
 
 def supported(x: np.ndarray, target: int, month: np.ndarray, rng: np.random.Generator, rounds: int = 3, share: float = 0.12) -> np.ndarray:
     """Series ``target`` completed in rounds: 12 % of its observations, 6 to 24, are hidden, and a blend of the old
     result (0.35) and the new (0.65) is taken as support only if it does better on them [M10]."""
-    y = x[target]
-    seen = np.flatnonzero(np.isfinite(y))
-    if len(seen) < 20:
-        return complete_with_donors(x, target, month)
-    hidden = rng.choice(seen, int(np.clip(round(share * len(seen)), 6, 24)), replace=False)
+    hidden = hidden_months(x[target], rng, share)
     held = x.copy()
     held[target, hidden] = np.nan
-    best = complete_with_donors(held, target, month)
+    first = complete_with_donors(held, target, month)
+    return improved(x[target], hidden, first, month, rng, rounds) if len(hidden) else first
+
+
+def hidden_months(y: np.ndarray, rng: np.random.Generator, share: float = 0.12) -> np.ndarray:
+    """Places of the observations that are hidden; none of a series of fewer than 20."""
+    seen = np.flatnonzero(np.isfinite(y))
+    return rng.choice(seen, int(np.clip(round(share * len(seen)), 6, 24)), replace=False) if len(seen) >= 20 else seen[:0]
+
+
+def improved(y: np.ndarray, hidden: np.ndarray, best: np.ndarray, month: np.ndarray, rng: np.random.Generator, rounds: int = 3) -> np.ndarray:
+    """The rounds of supported() from a first result."""
+    held = y.copy()
+    held[hidden] = np.nan
     score = (kge(y[hidden], best[hidden]), -float(np.sqrt(np.mean((best[hidden] - y[hidden]) ** 2))))
     for _ in range(rounds):
         features = np.column_stack([best, seasonal_features(month)])
-        new = 0.35 * best + 0.65 * euler_reservoir(_driven(features, held[target]), held[target], rng)
+        new = 0.35 * best + 0.65 * euler_reservoir(_driven(features, held), held, rng)
         new_score = (kge(y[hidden], new[hidden]), -float(np.sqrt(np.mean((new[hidden] - y[hidden]) ** 2))))
         if new_score <= score:
             break

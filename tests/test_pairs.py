@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hydrolith.operators import impute, merge, pairs
 
@@ -78,3 +79,48 @@ def test_pairs_are_not_moved(spark, operator):
     rng = np.random.default_rng(2)
     s = spark.createDataFrame([("a", k, t, float(rng.random())) for k in range(150) for t in range(12)], KIND)
     assert moved(spark, lambda: operator(s).write.format("noop").mode("overwrite").save()) < 10000  # 11175 pairs, which meet 12 times
+
+
+def gappy():
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=40).cumsum()
+    x = np.array([100 + k + (1 + k / 10) * base + rng.normal(size=40) for k in range(24)])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[3, 4:] = np.nan
+    x[5, 2:] = np.nan
+    x[6, np.isfinite(x[6])] = 7.1
+    return x
+
+
+def imputed(spark, operator, x):
+    """What an operator makes of one group, and the partitions it came from; a value is given as two that it is the mean of."""
+    rows = [("a", k, 500 + t, float(v)) for k, series in enumerate(x) for t, v in enumerate(series) if np.isfinite(v)]
+    rows = [*rows[1:], (*rows[0][:3], rows[0][3] - 1), (*rows[0][:3], rows[0][3] + 1), ("a", 1, 500, None), ("b", 50, 3, 1.5)]
+    found = operator(spark.createDataFrame(rows, "grp string, key long, m long, value double"), "grp").withColumn("part", F.spark_partition_id()).collect()
+    assert [(r["key"], r["m"], r["value"]) for r in found if r["grp"] == "b"] == [(50, 3, 1.5)]
+    own = [r for r in found if r["grp"] == "a"]
+    out = np.full(x.shape, np.nan)
+    for r in own:
+        out[r["key"], r["m"] - 500] = r["value"]
+    assert len(own) == x.size
+    return out, len({r["part"] for r in own})
+
+
+@pytest.mark.parametrize("block", [5, 512])
+def test_series_of_a_group_are_completed_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    x, month = gappy(), np.arange(500, 540)
+    x[1, 0] = np.nan
+    got, parts = imputed(spark, impute.impute_with_donors, x)
+    assert np.allclose(got, [impute.complete_with_donors(x, i, month) for i in range(len(x))], atol=1e-6)
+    assert parts > 1 or block == 512
+
+
+@pytest.mark.parametrize("shape", [(3, 40), (20, 40), (40, 40)])
+def test_many_matrices_are_filled_as_one(shape):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, *shape))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[3] = 1.0
+    want = [impute.soft_impute(m, 3, rounds=100, tol=1e-7, start="row", stop="cell") for m in x]
+    assert np.allclose(impute.soft_impute_many(x, 3, 100, 1e-7), want, atol=1e-7)
