@@ -124,3 +124,18 @@ def test_many_matrices_are_filled_as_one(shape):
     x[3] = 1.0
     want = [impute.soft_impute(m, 3, rounds=100, tol=1e-7, start="row", stop="cell") for m in x]
     assert np.allclose(impute.soft_impute_many(x, 3, 100, 1e-7), want, atol=1e-7)
+
+
+def test_full_series_come_from_blocks(spark, monkeypatch):
+    """Each series of one group once a month, from several tasks, with what was observed as it was."""
+    monkeypatch.setattr(pairs, "BLOCK", 5)
+    x = gappy()
+    s = spark.createDataFrame([("a", k, t, float(v)) for k, series in enumerate(x) for t, v in enumerate(series) if np.isfinite(v)], "grp string, key long, m long, value double")
+    whole = {(r["key"], r["m"]): r for r in impute.full_series(s, "grp", 1, 0).collect()}
+    assert len(whole) == x.size
+    assert all(whole[k, t]["value"] == x[k, t] for k, t in zip(*np.nonzero(np.isfinite(x)), strict=True))
+    assert "applyInPandas" not in (plan := impute.full_series(s, "grp", 1, 0)._jdf.queryExecution().toString()) and "FlatMapGroupsInPandas" not in plan
+    monkeypatch.setattr(pairs, "BLOCK", 512)
+    for r in impute.full_series(s, "grp", 1, 0).collect():
+        other = whole[r["key"], r["m"]]
+        assert r["fill_stage"] == other["fill_stage"] and np.isclose(r["value"], other["value"], atol=1e-6)
