@@ -408,12 +408,6 @@ def eof_modes(monthly: DataFrame, group: str, modes: int = 3) -> DataFrame:
     return monthly.groupBy(group).applyInPandas(run, f"{group} {kind}, mode int, singular double, explained double")
 
 
-def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Months x series, every month from the first to the last."""
-    wide = pdf.pivot_table(index="m", columns="key", values="value", aggfunc="mean").sort_index()
-    return wide.reindex(range(int(wide.index.min()), int(wide.index.max()) + 1))
-
-
 def impute_with_donors(monthly: DataFrame, group: str, donors: int = 50, common: int = 8) -> DataFrame:
     """(group, key, m, value, observed): each series of a group completed from its donors [M04]. A task holds two blocks of series and the donors of one."""
 
@@ -456,14 +450,24 @@ def improved(y: np.ndarray, hidden: np.ndarray, best: np.ndarray, month: np.ndar
 def impute_supported(monthly: DataFrame, group: str, seed: int = 42) -> DataFrame:
     """(group, key, m, value, observed) by the support loop [M10, M11]."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        x, m = wide.to_numpy(float).T, wide.index.to_numpy(np.int64)
-        parts = [pd.DataFrame({group: pdf[group].iloc[0], "key": k, "m": m, "value": supported(x, i, m, rng_for(seed, k)), "observed": np.isfinite(x[i])}) for i, k in enumerate(wide.columns)]
-        return pd.concat(parts, ignore_index=True)
+    from hydrolith.operators.pairs import completed
 
-    kind = dict(monthly.dtypes)
-    return monthly.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, key {kind['key']}, m long, value double, observed boolean")
+    def hide(x: np.ndarray, keys: list) -> np.ndarray:
+        held = x.copy()
+        for i, key in enumerate(keys):
+            held[i, hidden_months(x[i], rng_for(seed, key))] = np.nan
+        return held
+
+    def fill(x: np.ndarray, held: np.ndarray, r: np.ndarray, at: np.ndarray, pool: np.ndarray, months: np.ndarray, keys: list) -> np.ndarray:
+        out = complete_from(held, r, at, pool, months)
+        for i, key in enumerate(keys):
+            rng = rng_for(seed, key)
+            hidden = hidden_months(x[i], rng)
+            if len(hidden):
+                out[i] = improved(x[i], hidden, out[i], months, rng)
+        return out
+
+    return completed(monthly, group, 50, 8, hide, fill)
 
 
 def holdout_benchmark(monthly: DataFrame, methods: list[str], share: float = 0.2, seed: int = 7) -> DataFrame:

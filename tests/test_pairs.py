@@ -114,6 +114,9 @@ def test_series_of_a_group_are_completed_by_blocks(spark, monkeypatch, block):
     got, parts = imputed(spark, impute.impute_with_donors, x)
     assert np.allclose(got, [impute.complete_with_donors(x, i, month) for i in range(len(x))], atol=1e-6)
     assert parts > 1 or block == 512
+    got, parts = imputed(spark, impute.impute_supported, x)
+    assert np.allclose(got, [impute.supported(x, i, month, impute.rng_for(42, i)) for i in range(len(x))], atol=1e-6)
+    assert parts > 1 or block == 512
 
 
 @pytest.mark.parametrize("shape", [(3, 40), (20, 40), (40, 40)])
