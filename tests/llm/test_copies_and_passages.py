@@ -90,3 +90,24 @@ def test_the_line_stage_deletes_long_single_lines(spark):
     texts = [(0, f"a b\n{line}\n{short}\nc d"), (1, line), (2, f"e f\n{line}\ng h\n{short}")]
     got = corpus_pipeline.line_stage(spark, spark.createDataFrame(texts, "doc_id long, text string"), "").collect()
     assert {r["doc_id"]: r["text"] for r in got} == {0: texts[0][1], 1: "", 2: f"e f\ng h\n{short}"}
+
+
+def test_op3_passages_meet_past_unlike_holders_of_their_pieces(spark):
+    """The pieces of a passage stand alone in documents before both of its holders and between them; copies of a text get one row."""
+    rng = np.random.default_rng(12)
+    passage = [f"p{rng.integers(10**6)}" for _ in range(120)]
+
+    def filler(n):
+        return [f"f{rng.integers(10**6)}" for _ in range(n)]
+
+    pieces = [passage[i : i + 40] for i in range(0, 81, 20)]
+    texts = {i: " ".join([*filler(30), *p, *filler(30)]) for i, p in enumerate(pieces)}
+    texts |= {200 + i: " ".join([*filler(30), *p, *filler(30)]) for i, p in enumerate(pieces)}
+    texts |= {100: " ".join([*filler(30), *passage, *filler(30)]), 300: " ".join([*filler(20), *passage, *filler(20)])}
+    texts[400] = texts[401] = texts[300]
+    near = passage.copy()
+    near[30::40] = ["x", "y", "z"]
+    texts[500] = " ".join(near)
+    got = {(r["doc_id"], r["source_id"]): r for r in chaining.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert set(got) == {(300, 100), (400, 300), (401, 300), (500, 100), (500, 300)}
+    assert got[300, 100]["n_words"] == 120 and got[400, 300]["n_words"] == 160 and got[500, 300]["similarity"] < 1
