@@ -583,17 +583,54 @@ def neighbour_means(series: DataFrame, near: DataFrame) -> DataFrame:
     return sums.join(total, "key").select("key", "m", (F.col("s") / F.col("total")).alias("value"))
 
 
+def small_gaps(x: np.ndarray, longest: int = 24, pad: int = 6) -> np.ndarray:
+    """x (series x months) with its gaps filled as by series.fill_small_gaps()."""
+    out, (row, m) = x.copy(), np.nonzero(np.isfinite(x))
+    count = np.bincount(row, minlength=len(x))
+    if not (count >= 3).any():
+        return out
+    enough = count[row] >= 3
+    row, m = row[enough], m[enough]
+    y, n = x[row, m], len(row)
+    begins, ends = np.diff(row, prepend=-1) != 0, np.diff(row, append=len(x)) != 0
+
+    def shifted(v: np.ndarray, by: int) -> np.ndarray:
+        return v[np.clip(np.arange(n) + by, 0, n - 1)]
+
+    with np.errstate(all="ignore"):
+        h = (shifted(m, 1) - m).astype(float)
+        d = (shifted(y, 1) - y) / h
+        hb, db = shifted(h, -1), shifted(d, -1)
+
+        def end(h0: np.ndarray, h1: np.ndarray, d0: np.ndarray, d1: np.ndarray) -> np.ndarray:
+            s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+            return np.where(np.sign(s) != np.sign(d0), 0.0, np.where((np.sign(d0) != np.sign(d1)) & (np.abs(s) > 3 * np.abs(d0)), 3 * d0, s))
+
+        w1, w2 = 2 * h + hb, h + 2 * hb
+        slope = np.where(db * d <= 0, 0.0, (w1 + w2) / (w1 / db + w2 / d))
+        slope = np.where(begins, end(h, shifted(h, 1), d, shifted(d, 1)), np.where(ends, end(hb, shifted(h, -2), db, shifted(d, -2)), slope))
+        gap = np.where(ends, 0, shifted(m, 1) - m - 1)
+        k = np.repeat(np.arange(n), gap)
+        step = np.arange(len(k)) - np.repeat(np.cumsum(gap) - gap, gap) + 1
+        near = (gap[k] <= longest) | (step <= pad) | (step >= gap[k] + 1 - pad)
+        k, step = k[near], step[near]
+        u = step / h[k]
+        u2, u3 = u * u, u * u * u
+        value = (2 * u3 - 3 * u2 + 1) * y[k] + (u3 - 2 * u2 + u) * h[k] * slope[k] + (-2 * u3 + 3 * u2) * y[k + 1] + (u3 - u2) * h[k] * slope[k + 1]
+    out[row[k], m[k] + step] = value
+    return out
+
+
 def full_series(monthly: DataFrame, group: str, longest: int = 24, pad: int = 6) -> DataFrame:
     """(group, key, m, observed, value, fill_stage) of every month of a group: small gaps by cubics, the rest from donors [M08, M11, K12, T19].
 
-    What cubics filled supports the donors' matrix as if it were observed.
+    What cubics filled supports the donors' matrix as if it were observed. A task fills the gaps of the blocks that it
+    holds, so measurements are read and moved once.
     """
-    from hydrolith.operators.series import combined, fill_small_gaps
-
-    groups = monthly.select(group, "key").distinct()
-    small = fill_small_gaps(monthly.select("key", "m", "value"), longest, pad).where("value is not null").join(groups, "key")
-    model = impute_with_donors(small.select(group, "key", "m", "value"), group).select(group, "key", "m", F.col("value").alias("model"))
-    seen = monthly.groupBy("key", "m").agg(F.avg("value").alias("observed"))
-    both = model.join(small.select("key", "m", F.col("value").alias("small")), ["key", "m"], "left").join(seen, ["key", "m"], "left")
-    value, stage = combined(F.col("observed"), F.col("small"), F.col("model"))
-    return both.select(group, "key", "m", "observed", value.alias("value"), stage.alias("fill_stage"))
+    from hydrolith.operators.pairs import completed
+    from hydrolith.operators.series import combined
+
+    both = completed(monthly, group, 50, 8, lambda x, keys: x, lambda x, held, r, at, pool, months, keys: complete_from(x, r, at, pool, months), lambda x: small_gaps(x, longest, pad))
+    value, observed = F.col("value"), F.when(F.col("observed"), F.col("value"))
+    value, stage = combined(observed, F.when(F.col("small"), value), value)
+    return both.select(group, "key", "m", observed.alias("observed"), value.alias("value"), stage.alias("fill_stage"))

@@ -142,3 +142,33 @@ def test_full_series_come_from_blocks(spark, monkeypatch):
     for r in impute.full_series(s, "grp", 1, 0).collect():
         other = whole[r["key"], r["m"]]
         assert r["fill_stage"] == other["fill_stage"] and np.isclose(r["value"], other["value"], atol=1e-6)
+
+
+@pytest.mark.parametrize("longest, pad", [(2, 0), (5, 1), (24, 6)])
+def test_small_gaps_are_those_of_the_plan(spark, longest, pad):
+    from hydrolith.operators import series
+
+    x = gappy()
+    x[8], x[9], x[10] = np.nan, np.nan, np.nan
+    x[9, 7], x[10, [3, 30]] = 4.0, (1.0, 2.0)
+    s = spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(x) for t, v in enumerate(row) if np.isfinite(v)], "key long, m long, value double")
+    want = np.full(x.shape, np.nan)
+    for r in series.fill_small_gaps(s, longest, pad).where("value is not null").collect():
+        want[r["key"], r["m"]] = r["value"]
+    assert np.allclose(impute.small_gaps(x, longest, pad), want, rtol=1e-12, atol=0, equal_nan=True)
+
+
+def test_full_series_read_measurements_once(spark, tmp_path):
+    x = gappy()
+    rows = [("a", k, t, float(v)) for k, row in enumerate(x) for t, v in enumerate(row) if np.isfinite(v)]
+    spark.createDataFrame([*rows, ("a", 2, 1, None), ("a", 30, 1, math.nan)], "grp string, key long, m long, value double").write.parquet(f"{tmp_path}/s")
+    found = impute.full_series(spark.read.parquet(f"{tmp_path}/s"), "grp", 2, 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("FileScan parquet") <= 2  # the values, and the sizes of groups
+    whole = found.toPandas()
+    assert len(whole) == x.size and whole["value"].notna().all()
+    stage = np.full(x.shape, "", object)
+    stage[whole["key"], whole["m"]] = whole["fill_stage"]
+    small = np.isfinite(impute.small_gaps(x, 2, 0))
+    assert ((stage == "observed") == np.isfinite(x)).all() and ((stage == "small_gap_pchip") == (small & ~np.isfinite(x))).all()
+    assert (whole["observed"].notna() == (whole["fill_stage"] == "observed")).all()
