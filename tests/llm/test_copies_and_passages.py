@@ -111,3 +111,57 @@ def test_op3_passages_meet_past_unlike_holders_of_their_pieces(spark):
     got = {(r["doc_id"], r["source_id"]): r for r in chaining.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert set(got) == {(300, 100), (400, 300), (401, 300), (500, 100), (500, 300)}
     assert got[300, 100]["n_words"] == 120 and got[400, 300]["n_words"] == 160 and got[500, 300]["similarity"] < 1
+
+
+def test_op3_frequent_lines_dont_pair_their_holders(spark):
+    """Holders of a short common line aren't paired, but those that share a passage with it are found among them, past unlike first and last holders."""
+    rng = np.random.default_rng(14)
+    line = prose(rng, 13)
+    passage = [*prose(rng, 40), *line, *prose(rng, 40)]
+    texts = [[*prose(rng, 50), *line, *prose(rng, 50)] for _ in range(120)]
+    for i, p in ((50, passage), (80, edited(rng, passage[:40], 0.1) + line + edited(rng, passage[53:], 0.1)), (100, [*passage[20:40], *line, *passage[53:75]])):
+        texts[i] = [*prose(rng, 30), *p, *prose(rng, 30)]
+    docs = frame(spark, texts)
+    got = chaining.shared_passages(docs).collect()
+    assert {(80, 50), (100, 50)} <= linked(got) <= {(80, 50), (100, 50), (100, 80)}
+    assert chaining.seeds(docs).groupBy("h").count().where("count > 100").count() > 0
+
+
+def frequent_holders(rng, n):
+    """n documents of a passage of which every seed is frequent, each with other edits, and unlike holders of its pieces before and among them."""
+    passage = prose(rng, 120)
+    texts = [[*prose(rng, 30), *passage[i % 81 : i % 81 + 40], *prose(rng, 30)] for i in range(2 * n)]
+    for i in range(n):
+        texts.append([*prose(rng, 20), *edited(rng, passage, 0.05), *prose(rng, 20)])
+        texts.append([*prose(rng, 30), *passage[i % 81 : i % 81 + 40], *prose(rng, 30)])
+    return texts, {2 * n + 2 * i for i in range(n)}
+
+
+def test_op3_family_of_frequent_seeds_is_connected(spark):
+    texts, family = frequent_holders(np.random.default_rng(15), 40)
+    got = chaining.shared_passages(frame(spark, texts)).collect()
+    words = covered(got)
+    assert {r["doc_id"] for r in got} >= family - {min(family)}
+    assert all(sum((d, j) in words for j in range(20, 140)) >= 100 for d in family - {min(family)})
+    root = {d: d for d in range(len(texts))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, s in sorted(linked(got)):
+        root[max(find(d), find(s))] = min(find(d), find(s))
+    assert len({find(d) for d in family}) == 1
+
+
+def test_op3_meets_frequent_seeds_only_where_a_passage_may_be(spark):
+    rng = np.random.default_rng(16)
+    line = prose(rng, 13)
+    docs = frame(spark, [[*prose(rng, 50), *line, *prose(rng, 50)] for _ in range(100)])
+    held = chaining.seeds(docs).groupBy("h").agg(chaining.F.collect_list(chaining.F.struct("doc_id", "at")).alias("r")).where(chaining.F.size("r") > chaining.FEW)
+    many = held.select("h", chaining.F.inline("r"))
+    found = spark.createDataFrame([], "doc_id long, start long, end long, equal boolean")
+    left = chaining.open_places(many, found, 5)
+    assert left.where("open").count() >= 100
+    assert chaining.beside(left, docs, 50, 0.8, 5).count() == 0
