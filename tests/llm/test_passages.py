@@ -70,6 +70,42 @@ def test_chains_are_the_best_by_brute_force():
         assert got == pytest.approx(best)
 
 
+def test_chains_of_many_rows_are_those_of_each():
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in (1, 2, 5, 30, 39, 450, 12, 25):
+        a = np.sort(rng.integers(0, 2 * n, n))
+        b = a + rng.integers(0, 3, n) if n % 2 else rng.integers(0, 2 * n, n)
+        order = np.lexsort((b, a))
+        rows.append((a[order], b[order]))
+    first = np.concatenate([[0], np.cumsum([len(a) for a, _ in rows])])
+    for least in (1, 2):
+        whole, paths = chaining.chains_of_many(first, np.concatenate([a for a, _ in rows]), np.concatenate([b for _, b in rows]), 4, 0.05, least)
+        for i, (a, b) in enumerate(rows):
+            got = [np.arange(len(a))] if whole[i] else paths[i]
+            assert [p.tolist() for p in got] == [p.tolist() for p in chaining.chains(a, b, 4, 0.05, least)]
+
+
+def test_matches_of_many_rows_are_those_of_each():
+    """A k-mer of x goes to the nearest equal one by the nearest seed's line, of its own row only."""
+    x = [[1, 2, 3, 9, 1, 2, 3], [1, 2, 3, 4], [5, 6]]
+    y = [[1, 2, 3, 8, 8, 1, 2, 3], [4, 1, 2, 3], [1, 2, 3]]
+    seeds = [([0, 4], [0, 5]), ([0], [1]), ([0], [0])]
+    flat = [np.array(sum(rows, []), np.int32) for rows in (x, y)] + [np.array(sum((s[i] for s in seeds), [])) for i in (0, 1)]
+    first = [np.concatenate([[0], np.cumsum([len(r) for r in rows])]) for rows in (x, y, [s[0] for s in seeds])]
+    row, at, best = chaining.matches_of_many(flat[0], first[0], flat[1], first[1], flat[2], flat[3], first[2], 3)
+    assert list(zip(row.tolist(), at.tolist(), best.tolist(), strict=True)) == [(0, 0, 0), (0, 4, 5), (1, 0, 1)]
+
+
+def test_texts_of_sources_do_not_make_spans_twice(spark):
+    """verified() runs three functions over spans: words of documents, words of sources, alignment."""
+    own = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(60))) for i in range(2)], "doc_id long, text string")
+    met = spark.createDataFrame([(1, 0, 3, 3, False), (1, 0, 9, 9, False)], "doc_id long, source_id long, pos int, source_pos int, alone boolean")
+    found = chaining.verified(met, own, 50, 0.8, chaining.SEED)
+    assert [(r["start"], r["end"]) for r in found.collect()] == [(0, 60)]
+    assert chaining.verified(met, own, 50, 0.8, chaining.SEED)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3
+
+
 def test_shared_passages_are_found(spark):
     docs = planted(random.Random(4))
     rows = [(i, " ".join(w), "x", "y") for i, w in docs.items()]
